@@ -33,21 +33,27 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def pin(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder."""
-    _ready(df.sparkSession)
-    return df.checkpoint(eager=True)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a compressed table in the shared folder."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """Cut the lineage with a compressed table in the shared folder; shuffle files of the job that wrote it go at once."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+pin = table
 
 
 def counted_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Checkpoint a join side and broadcast it only if its counted size allows; else Spark shuffles."""
+    """Write a join side out and broadcast it only if its counted size allows; else Spark shuffles."""
     df = pin(df)
     return F.broadcast(df) if df.count() <= limit else df
 

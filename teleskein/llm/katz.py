@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,7 +57,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             place[by] = np.arange(len(by), dtype=np.uint32)
             size = np.concatenate([h[2] for h in held]).astype(np.int32)
             made += 1
-            blobs = [size.tobytes(), vocab[by].tobytes(), times[by].astype(np.uint32).tobytes(), place[idx].tobytes()]
+            blobs = [_wrap(size), vocab[by].tobytes(), _wrap(times[by].astype(np.uint32)), _wrap(place[idx])]
             columns = [pa.array([TaskContext.get().partitionId() << 32 | made], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)]
             held.clear()
             return pa.RecordBatch.from_arrays([*columns, *[pa.array([b], pa.binary()) for b in blobs]], ["chunk", "ids", "size", "vocab", "times", "idx"])
@@ -76,10 +77,30 @@ def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(code, f"chunk bigint, ids array<{kind}>, size binary, vocab binary, times binary, idx binary")
 
 
+def _wrap(values: np.ndarray) -> bytes:
+    """Compressed by byte planes: the high bytes of small numbers cost next to nothing."""
+    values = np.ascontiguousarray(values)
+    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes())
+
+
+def _unwrap(blob: bytes, dtype) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+
+
+def _wrap_keys(keys: np.ndarray) -> bytes:
+    return _wrap(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unwrap_keys(blob: bytes) -> np.ndarray:
+    return np.cumsum(_unwrap(blob, np.uint64), dtype=np.uint64)
+
+
 def _by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    part = (keys % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    return order, np.searchsorted(part[order], np.arange(parts + 1))
+    """(order of the keys, where each part begins in it): a part holds a range of keys."""
+    order = np.argsort(keys)
+    part = ((keys[order] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    return order, np.searchsorted(part, np.arange(parts + 1))
 
 
 def _send(chunk: int, kind: str, level: int, keys: np.ndarray, columns: list[np.ndarray], parts: int) -> list[tuple]:
@@ -87,8 +108,8 @@ def _send(chunk: int, kind: str, level: int, keys: np.ndarray, columns: list[np.
     rows = []
     for p in np.flatnonzero(np.diff(cut)):
         at = order[cut[p] : cut[p + 1]]
-        blobs = [c[at].tobytes() for c in columns]
-        rows.append((int(p), chunk, kind, level, keys[at].tobytes(), *blobs, *[None] * (3 - len(blobs))))
+        blobs = [_wrap(c[at]) for c in columns]
+        rows.append((int(p), chunk, kind, level, _wrap_keys(keys[at]), *blobs, *[None] * (3 - len(blobs))))
     return rows
 
 
@@ -103,32 +124,33 @@ def answer_counts(table: pa.Table) -> pa.Table:
     out = []
     for level in sorted({r["level"] for r in rows}):
         own = [r for r in rows if r["level"] == level]
-        keys = [np.frombuffer(r["keys"], np.uint64) for r in own]
+        keys = [_unwrap_keys(r["keys"]) for r in own]
         _, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        total = np.bincount(at, np.concatenate([np.frombuffer(r["x"], np.uint32) for r in own])).astype(np.int64)
+        total = np.bincount(at, np.concatenate([_unwrap(r["x"], np.uint32) for r in own])).astype(np.int64)
         reply = total[at] * 2
         reply[first] += 1
         stop = np.cumsum([len(k) for k in keys])
         for r, k, e in zip(own, keys, stop):
             mine = reply[e - len(k) : e]
-            out.append((r["chunk"], "count", level, r["part"], mine.astype(np.uint32 if mine.max() < 1 << 31 else np.uint64).tobytes(), None))
+            out.append((r["chunk"], "count", level, r["part"], _wrap(mine), None))
         out.append((-1, "count", level, own[0]["part"], np.bincount(np.minimum(total, K + 2), minlength=K + 3)[: K + 2].astype(np.int64).tobytes(), np.array([total.sum()], np.int64).tobytes()))
     return _reply_table(out)
 
 
 def answer_contexts(table: pa.Table) -> pa.Table:
-    """Of one part: to each chunk the denominator and the backoff weight of its contexts."""
+    """Of one part: to each chunk the denominator of its contexts, and the backoff weight of those after which it backs off."""
     rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
-    keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
+    keys = [_unwrap_keys(r["keys"]) for r in rows]
     _, at = np.unique(np.concatenate(keys), return_inverse=True)
-    times = np.bincount(at, np.concatenate([np.frombuffer(r["x"], np.uint32) for r in rows]))
-    seen, lower = (np.bincount(at, np.concatenate([np.frombuffer(r[c], np.float64) for r in rows])) for c in ("y", "z"))  # the same order each time, so the same sums
+    asked = np.concatenate([_unwrap(r["x"], np.int64) for r in rows])
+    times = np.bincount(at, asked >> 1)
+    seen, lower = (np.bincount(at, np.concatenate([_unwrap(r[c], np.float64) for r in rows])) for c in ("y", "z"))  # the same order each time, so the same sums
     total, alpha = normalised(times, seen, lower)
     out, begin = [], 0
     for r, k in zip(rows, keys):
-        mine = at[begin : begin + len(k)]
+        mine, backs_off = at[begin : begin + len(k)], asked[begin : begin + len(k)] & 1
         begin += len(k)
-        out.append((r["chunk"], "context", r["level"], r["part"], total[mine].tobytes(), alpha[mine].tobytes()))
+        out.append((r["chunk"], "context", r["level"], r["part"], _wrap(total[mine]), _wrap(np.where(backs_off, alpha[mine], 0.0))))
     return _reply_table(out)
 
 
@@ -167,12 +189,12 @@ class Chunk:
         self.replies: dict = {}
         for r in sorted(replies, key=lambda r: r["part"]):
             self.replies.setdefault((r["kind"], r["level"]), []).append(r)
-        size = np.frombuffer(row["size"], np.int32)
+        size = _unwrap(row["size"], np.int32)
         self.doc = np.repeat(np.arange(len(size)), size)
         self.offset = np.arange(len(self.doc)) - np.repeat(np.cumsum(size, dtype=np.int64) - size, size)
         self.keys = {1: np.frombuffer(row["vocab"], np.uint64)}
-        self.times = {1: np.frombuffer(row["times"], np.uint32)}
-        self.local = {1: np.frombuffer(row["idx"], np.uint32).astype(np.int64)}  # of each token, -1 where not sent
+        self.times = {1: _unwrap(row["times"], np.uint32)}
+        self.local = {1: _unwrap(row["idx"], np.uint32).astype(np.int64)}  # of each token, -1 where not sent
         self.first: dict[int, np.ndarray] = {}
         self.skipped: dict[int, int] = {1: 0}
         self.count: dict[int, np.ndarray] = {}
@@ -183,23 +205,14 @@ class Chunk:
         order, _ = _by_part(keys, self.parts)
         out = []
         for column, dtype in types:
-            blobs = []
-            for r in rows:
-                wide = dtype or (np.uint64 if len(r[column]) == 8 * self._part_size(keys, r["part"]) else np.uint32)
-                blobs.append(np.frombuffer(r[column], wide).astype(wide if dtype else np.int64))
-            value = np.empty(len(keys), blobs[0].dtype if blobs else np.int64)
-            value[order] = np.concatenate(blobs) if blobs else np.zeros(0)
+            value = np.empty(len(keys), dtype)
+            value[order] = np.concatenate([_unwrap(r[column], dtype) for r in rows]) if rows else 0
             out.append(value)
         return out
 
-    def _part_size(self, keys: np.ndarray, part: int) -> int:
-        if getattr(self, "_sized", (None,))[0] is not keys:
-            self._sized = (keys, np.bincount((keys % np.uint64(self.parts)).astype(np.int64), minlength=self.parts))
-        return int(self._sized[1][part])
-
     def learn(self, level: int) -> None:
         """Numbers over all documents of this level's n-grams."""
-        (reply,) = self._received("count", level, self.keys[level], [("x", None)])
+        (reply,) = self._received("count", level, self.keys[level], [("x", np.int64)])
         self.count[level], self.owner[level] = reply >> 1, (reply & 1) > 0
 
     def seen(self, level: int, least: int = 2) -> np.ndarray:
@@ -234,7 +247,7 @@ class Chunk:
 
     def send_contexts(self, level: int) -> list[tuple]:
         use, context = self.contexts(level)
-        times = np.bincount(context[context >= 0], minlength=len(use))
+        times = np.bincount(context[context >= 0], minlength=len(use)).astype(np.int64)
         gram = np.flatnonzero(self.owner[level] & (self.count[level] >= 2))
         at = self.first[level][gram]
         number = self.count[level][gram]
@@ -242,7 +255,9 @@ class Chunk:
         seen = np.bincount(context[at], d * number, len(use))
         lower = np.bincount(context[at], self.prob(level - 1)[at], len(use))
         keys = self.keys[level - 1][use]
-        return _send(self.id, "context", level, keys, [times.astype(np.uint32), seen.astype(np.float64), lower.astype(np.float64)], self.parts)
+        unseen = (context >= 0) & (self.seen(level) < 0)
+        backs_off = np.bincount(context[unseen], minlength=len(use)) > 0
+        return _send(self.id, "context", level, keys, [times * 2 + backs_off, seen.astype(np.float64), lower.astype(np.float64)], self.parts)
 
     def prob(self, level: int) -> np.ndarray:
         """Of each token, with a history of up to level - 1 words."""
@@ -322,7 +337,7 @@ def score(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "
     def first_level(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                sent = _send(row["chunk"], "count", 1, np.frombuffer(row["vocab"], np.uint64), [np.frombuffer(row["times"], np.uint32)], parts)
+                sent = _send(row["chunk"], "count", 1, np.frombuffer(row["vocab"], np.uint64), [_unwrap(row["times"], np.uint32)], parts)
                 yield from _sent_table(sent).to_batches()
 
     def take_numbers(found: DataFrame, level: int, skipped: int = 0) -> None:
