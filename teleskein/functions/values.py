@@ -84,6 +84,7 @@ def go_float(x: float | None) -> str | None:
     """Shortest text of a float: exponent form below 1e-4 and from 1e21 on."""
     if x is None:
         return None
+    x = float(x)
     if math.isnan(x):
         return "NaN"
     if math.isinf(x):
