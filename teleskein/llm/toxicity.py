@@ -26,6 +26,8 @@ STEMS = (4, 5)
 _WIDTH = 1 + len(STEMS)
 #: At most so many labelled documents of each class are learned from, chosen by hash of their id.
 TRAIN_PER_CLASS = 4000
+#: Features that a step of the fit looks at together.
+BLOCK = 1 << 20
 THRESHOLD = 0.5
 OUT = "toxic_prob double, is_toxic boolean, n_sentences bigint, offending array<struct<sentence:int,start:int,stop:int,score:double>>"
 
@@ -76,30 +78,39 @@ def fit(y: np.ndarray, feats: list[np.ndarray], sizes: list[np.ndarray], class_w
     if not use or y[use].min() == y[use].max():
         return weights, -30.0
     y = y[use].astype(float)
-    word = np.concatenate([feats[i] for i in use])
-    size = np.concatenate([sizes[i] for i in use]) * _WIDTH
     per_doc = np.array([len(sizes[i]) for i in use])
-    word_doc = np.repeat(np.arange(len(use)), [len(feats[i]) for i in use])
-    pairs = np.unique(word.astype(np.int64) * len(use) + word_doc)
-    common = np.flatnonzero(np.bincount(pairs // len(use), minlength=BUCKETS) >= 3)  # what occurs in fewer documents can't be told from chance
-    index = np.full(BUCKETS, -1)
+    held_by = np.zeros(BUCKETS, np.int64)
+    for i in use:
+        held_by[np.unique(feats[i])] += 1
+    common = np.flatnonzero(held_by >= 3)  # what occurs in fewer documents can't be told from chance
+    index = np.full(BUCKETS, -1, np.int32)
     index[common] = np.arange(len(common))
-    sentence = np.repeat(np.arange(len(size)), size)
-    known = index[word] >= 0
-    word, sentence = index[word[known]], sentence[known]
+    blocks, some, begin, held = [], [], 0, 0  # (first sentence, number of sentences, features, their sentences counted from the first)
+    for k, i in enumerate(use):
+        some.append(i)
+        held += len(feats[i])
+        if held < BLOCK and k + 1 < len(use):
+            continue
+        word = index[np.concatenate([feats[j] for j in some])]
+        size = np.concatenate([sizes[j] for j in some]) * _WIDTH
+        sentence = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        known = word >= 0
+        blocks.append((begin, len(size), word[known], sentence[known]))
+        begin, some, held = begin + len(size), [], 0
     sentence_doc = np.repeat(np.arange(len(use)), per_doc)
     cost = np.where(y > 0, class_weight[1], class_weight[0])
     cost /= cost.sum()
     theta = np.zeros(len(common) + 1)
     theta[-1] = -6.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
+    z = np.empty(begin)
     for t in range(1, rounds + 1):
-        z = np.bincount(sentence, theta[:-1][word], len(size)) + theta[-1]
-        soft = np.logaddexp(0, z)
-        total = np.bincount(sentence_doc, soft, len(use))
+        for at, n, word, sentence in blocks:
+            z[at : at + n] = np.bincount(sentence, theta[:-1][word], n) + theta[-1]
+        total = np.bincount(sentence_doc, np.logaddexp(0, z), len(use))
         grad_doc = cost * np.where(y > 0, -1 / np.expm1(np.clip(total, 1e-9, 500)), 1.0)
         g_z = grad_doc[sentence_doc] * np.exp(-np.logaddexp(0, -z))
-        grad = np.append(np.bincount(word, g_z[sentence], len(common)), g_z.sum())
+        grad = np.append(sum(np.bincount(word, g_z[at : at + n][sentence], len(common)) for at, n, word, sentence in blocks), g_z.sum())
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad**2
         step = rate / (np.sqrt(v / (1 - 0.99**t)) + 1e-7)
