@@ -4,8 +4,11 @@ Every word votes on 64 signed bits with its hash; its weight is its inverse corp
 a floor below which a word is too common to tell documents apart. Frequencies are counted over all
 documents, in a hashed table of fixed size. For all pairs within Hamming radius r the 64 bits are cut
 into r + 3 blocks: some three of them agree in any such pair, so one table for each choice of three
-blocks, permuted to the front, meets every pair in an equi-join; each pair is reported by the first
-table that holds it, after its distance is confirmed. Nothing is approximate below the fingerprint.
+blocks meets every pair in an equi-join. Fingerprints are sent once for each block that can come first
+among the three, by its value; the tables that begin with it are sorted and run through where they
+arrive. Each pair is reported by the first table that holds it, after its distance is confirmed.
+Nothing is approximate below the fingerprint. Texts of cosine c are about 64 arccos(c) / pi bits apart,
+so near copies that share most of their words, but not all, lie within 10 bits and rarely within 3.
 
 Defined results: null, empty and word-free texts have no fingerprint and no partner; where all words
 are below the floor, all weigh the same; ids that are null have no partner; rows that repeat an id
@@ -24,7 +27,10 @@ from pyspark.sql import functions as F
 
 from . import _spark, _text
 
-RADIUS = 3
+#: Between documents: of near copies by word 3-grams the most lie within it, of other pairs few.
+RADIUS = 10
+#: Pairs that are compared at once.
+PAIRS = 1 << 20
 TABLE_BITS = 18
 #: Words more frequent than one in 2 ** FLOOR_BITS weigh nothing.
 FLOOR_BITS = 9.0
@@ -114,18 +120,60 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def near_fingerprints(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b, distance), a < b: all pairs of distinct values of column fingerprint within the radius."""
+def _in_runs(key: np.ndarray):
+    """Places (x, y), x < y, of all pairs of equal neighbours in a sorted key, about PAIRS at once."""
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    stop = np.repeat(np.append(start[1:], len(key)), np.diff(np.append(start, len(key))))
+    after = stop - np.arange(len(key)) - 1
+    ends = np.cumsum(after)
+    at = 0
+    while at < len(key):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - after[at] + PAIRS, "right")))
+        number = after[at:to]
+        x = np.repeat(np.arange(at, to), number)
+        if len(x):
+            yield x, x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(number) - number, number)
+        at = to
+
+
+def _meet(prints: np.ndarray, first: int, radius: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, distance) of the pairs whose first three agreeing blocks begin with block ``first``."""
     block, tables, mask = masks(radius)
-    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fingerprint").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, m in enumerate(mask)])
-    spread = prints.where("fingerprint IS NOT NULL").select("fingerprint", F.explode(keys).alias("e")).select("fingerprint", "e.t", "e.k")
-    a, b = spread.select(F.col("fingerprint").alias("a"), "t", "k"), spread.select(F.col("fingerprint").alias("b"), "t", "k")
-    x = F.expr("a ^ b")
-    agree = [x.bitwiseAND(F.lit(_signed(m))) == 0 for m in block]
-    first = F.lit(len(tables))
-    for t in reversed(range(len(tables))):
-        first = F.when(agree[tables[t][0]] & agree[tables[t][1]] & agree[tables[t][2]], t).otherwise(first)
-    return a.join(b, ["t", "k"]).where(F.col("a") < F.col("b")).where(F.bit_count(x) <= radius).where(F.col("t") == first).select("a", "b", F.bit_count(x).cast("int").alias("distance"))
+    block, found = [np.uint64(m) for m in block], []
+    for table, m in zip(tables, mask):
+        if table[0] != first:
+            continue
+        key = prints & np.uint64(m)
+        order = np.argsort(key)
+        key, sorted_prints = key[order], prints[order]
+        for x, y in _in_runs(key):
+            a, b = sorted_prints[x], sorted_prints[y]
+            near = np.flatnonzero(np.bitwise_count(a ^ b) <= radius)
+            a, b = a[near], b[near]
+            for k in range(table[2]):
+                if k not in table:
+                    own = (a ^ b) & block[k] != 0
+                    a, b = a[own], b[own]
+            if len(a):
+                lo, hi = np.minimum(a.view(np.int64), b.view(np.int64)), np.maximum(a.view(np.int64), b.view(np.int64))
+                found.append((lo, hi, np.bitwise_count(a ^ b).astype(np.int32)))
+    return found
+
+
+def near_fingerprints(prints: DataFrame, radius: int = 3) -> DataFrame:
+    """(a, b, distance), a < b: all pairs of distinct values of column fingerprint within the radius."""
+    block = masks(radius)[0]
+    firsts = F.array(*[F.struct(F.lit(i).alias("first"), F.col("fingerprint").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(block[:-2])])
+    spread = prints.where("fingerprint IS NOT NULL").select("fingerprint", F.explode(firsts).alias("e"))
+    part = F.pmod(F.xxhash64("e.first", "e.k"), F.lit(64 * _spark.partitions(prints.sparkSession)))
+
+    def meet(table: pa.Table) -> pa.Table:
+        first, held = table["first"].to_numpy(), table["fingerprint"].to_numpy()
+        found = [p for i in np.unique(first) for p in _meet(np.unique(held[first == i]).view(np.uint64), int(i), radius)]
+        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+        return pa.table([pa.array(c) for c in columns], ["a", "b", "distance"])
+
+    return spread.select("fingerprint", "e.first", part.alias("part")).groupBy("part").applyInArrow(meet, "a bigint, b bigint, distance int")
 
 
 def near_documents(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
