@@ -1,17 +1,19 @@
 """Katz backoff language model: counted over all documents, and applied to every token of them.
 
-p(w | h) = d_r r / c(h) where h w occurs r >= 2 times, else alpha(h) p(w | h'), h' being h without its
-first word; words themselves have d_r r / N. d_r is the Good-Turing discount for r <= K, else 1, and
-n-grams of two words or more that occur once count as unseen, as Katz does. alpha(h) gives exactly
-the mass that h's seen words leave to the mass that h' gives to the words not seen after h.
+p(w | h) = d_r r / c(h) where h w is seen, that is, occurs r >= least times, else alpha(h) p(w | h'),
+h' being h without its first word; words themselves have d_r r / N. d_r is the Good-Turing discount
+for r <= K, else 1. alpha(h) gives exactly the mass that h's seen words leave to the mass that h' gives
+to the words not seen after h. The registered query is the full model, least = 1; in one with a higher
+least, rarer n-grams of two words or more count as unseen.
 
 Counts live in tables that are partitioned by hash of the n-gram. Texts are coded once, in chunks of
 about CHUNK_TOKENS words. A chunk sends each distinct n-gram of its own with its number to the part
 that holds it and gets the number over all documents back; one of the chunks that sent an n-gram is
 its owner and adds it to the sums of its context, which go to the part of the context in the same
 way. So every level is evaluated from the one below, per token, and nothing but the numbers of
-n-grams by frequency comes to the driver. An n-gram that holds a rarer one can't occur more often,
-so those with a part that occurs once are known to occur once and needn't be sent.
+n-grams by frequency comes to the driver. An n-gram that holds an unseen one can't be seen, so it
+needn't be sent: with least = 1 all are sent, with least = 2 those that hold one that occurs once are
+known to occur once.
 
 Defined results: null, empty and word-free texts have n_tokens 0, log_prob 0 and null perplexity; ids
 may be null or repeat, each row counts and is scored by itself; a document's first words have as much
@@ -215,11 +217,11 @@ class Chunk:
         (reply,) = self._received("count", level, self.keys[level], [("x", np.int64)])
         self.count[level], self.owner[level] = reply >> 1, (reply & 1) > 0
 
-    def seen(self, level: int, least: int = 2) -> np.ndarray:
-        """Of each token: its n-gram's number here where it occurs ``least`` times, else -1."""
+    def seen(self, level: int, least: int | None = None) -> np.ndarray:
+        """Of each token: its n-gram's number here where it occurs ``least`` times, by default as often as the model asks, else -1."""
         local, count = self.local[level], self.count[level]
         ok = local >= 0
-        ok[ok] = count[local[ok]] >= least
+        ok[ok] = count[local[ok]] >= (least or self.known["least"])
         return np.where(ok, local, -1)
 
     def extend(self, level: int) -> None:
@@ -238,8 +240,8 @@ class Chunk:
         self.skipped[level] = int((self.offset >= level - 1).sum()) - len(at)
 
     def contexts(self, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """(those n-grams of the level below that occur twice or more, context of each token among them or -1)."""
-        use = np.flatnonzero(self.count[level - 1] >= 2)
+        """(those n-grams of the level below that occur ``least`` times or more, context of each token among them or -1)."""
+        use = np.flatnonzero(self.count[level - 1] >= self.known["least"])
         place = np.full(len(self.keys[level - 1]) + 1, -1)
         place[use] = np.arange(len(use))
         before = np.concatenate([[-1], self.local[level - 1][:-1]])[: len(self.doc)]
@@ -248,7 +250,7 @@ class Chunk:
     def send_contexts(self, level: int) -> list[tuple]:
         use, context = self.contexts(level)
         times = np.bincount(context[context >= 0], minlength=len(use)).astype(np.int64)
-        gram = np.flatnonzero(self.owner[level] & (self.count[level] >= 2))
+        gram = np.flatnonzero(self.owner[level] & (self.count[level] >= self.known["least"]))
         at = self.first[level][gram]
         number = self.count[level][gram]
         d = self.known["discount"][level][np.minimum(number, K + 1)]
@@ -316,13 +318,15 @@ def _contexts(level: int, known: dict, parts: int):
     return send
 
 
-def score(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, log_prob, perplexity, backed_off) of each document; log_prob is natural, backed_off counts tokens that had a full history and used less of it."""
+def score(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text", least: int = 2) -> DataFrame:
+    """(id, n_tokens, log_prob, perplexity, backed_off) of each document; log_prob is natural, backed_off counts tokens that had a full history and used less of it. least: 1 for the full model, 2 for one without n-grams of two words or more that occur once."""
+    if least not in (1, 2):  # of n-grams that aren't sent only those that occur once are counted
+        raise ValueError("least is 1 or 2")
     spark = docs.sparkSession
     parts = _spark.partitions(spark)
     coded = _spark.table(chunks(docs, id_col, text_col))
     slim = coded.drop("ids")
-    known: dict = {"discount": {}, "tokens": 0}
+    known: dict = {"discount": {}, "tokens": 0, "least": least}
     replies: list[DataFrame] = []
 
     def all_replies() -> DataFrame:
@@ -347,7 +351,7 @@ def score(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "
                 by_number += np.frombuffer(r["x"], np.int64)
                 tokens += int(np.frombuffer(r["y"], np.int64)[0])
         by_number[1] += skipped
-        known["discount"][level] = discounts(by_number, 1 if level == 1 else 2)
+        known["discount"][level] = discounts(by_number, 1 if level == 1 else least)
         if level == 1:
             known["tokens"] = tokens
 
@@ -373,7 +377,7 @@ def score(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "
         ids = left["ids"].combine_chunks().flatten()
         tokens = np.bincount(chunk.doc, minlength=len(ids))
         log = np.bincount(chunk.doc, np.log(np.maximum(chunk.prob(n), 1e-300)), len(ids)).astype(np.float64)
-        less = (chunk.offset >= n - 1) & (chunk.seen(n, 2 if n > 1 else 1) < 0)
+        less = (chunk.offset >= n - 1) & (chunk.seen(n, None if n > 1 else 1) < 0)
         some = tokens > 0
         ppl = np.exp(np.minimum(-log / np.maximum(tokens, 1), 700))
         return pa.table([ids, pa.array(tokens), pa.array(np.round(log, 6)), pa.array(np.round(ppl, 6), mask=~some), pa.array(np.bincount(chunk.doc, less, len(ids)).astype(np.int64))], names)
@@ -382,4 +386,4 @@ def score(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "
 
 
 def op7_lm_scoring(spark, sf_dir: str) -> DataFrame:
-    return score(_spark.read(spark, sf_dir, "documents"))
+    return score(_spark.read(spark, sf_dir, "documents"), least=1)
