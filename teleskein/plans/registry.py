@@ -223,6 +223,11 @@ def series_in_window(spark, sf):
     return A.series_in_window(T.document_logs(spark, sf), 10, 60)
 
 
+@query(f"WITH {LOGS} SELECT DISTINCT stream_id FROM lg")
+def series_in_window_open(spark, sf):
+    return A.series_in_window(T.document_logs(spark, sf), None, None)
+
+
 @query(f"WITH {LOGS} SELECT * FROM (VALUES ('lang', 1), ('n_chars', 4), ('quality', 4), ('source', 1), ('toxic', 4)) v(key, scopes)")
 def attr_keys_scope(spark, sf):
     return A.keys(T.document_logs(spark, sf), resource=F.col("labels"), record=F.col("attrs"))
