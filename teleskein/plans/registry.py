@@ -54,16 +54,31 @@ def window_agg_anchored(spark, sf):
     return A.window_agg(T.event_samples(spark, sf), 12 * HOUR, 2 * DAY, anchor=T0 + 1800 * SECOND, end=END, by=("tenant",))
 
 
+@query(f"WITH {EVENTS} " + _WINDOWS.format(agg=AGG, first=T0 + 1800 * SECOND, end=T0 + 40 * DAY, step=12 * HOUR, window=2 * DAY))
+def window_agg_anchored_whole(spark, sf):
+    return A.window_agg(T.event_samples(spark, sf), 12 * HOUR, 2 * DAY, anchor=T0 + 1800 * SECOND, end=T0 + 40 * DAY, by=("tenant",))
+
+
 @query(f"WITH {EVENTS} " + _WINDOWS.format(agg=AGG, first=T0, end=END, step=6 * HOUR, window=15 * HOUR))
 def window_agg_misaligned(spark, sf):
     return A.window_agg(T.event_samples(spark, sf), 6 * HOUR, 15 * HOUR, end=END, by=("tenant",))
 
 
+@query(f"WITH {EVENTS} " + _WINDOWS.format(agg=AGG, first=T0, end=T0 + 40 * DAY, step=6 * HOUR, window=15 * HOUR))
+def window_agg_misaligned_whole(spark, sf):
+    return A.window_agg(T.event_samples(spark, sf), 6 * HOUR, 15 * HOUR, end=T0 + 40 * DAY, by=("tenant",))
+
+
 @query(f"WITH {EVENTS} SELECT series_id, {AGG} FROM ev WHERE ts BETWEEN {T0} AND {END} GROUP BY series_id")
 def range_agg(spark, sf):
     return A.range_agg(R.in_window(T.event_samples(spark, sf), T0, END))
 
 
+@query(f"WITH {EVENTS} SELECT series_id, {AGG} FROM ev GROUP BY series_id")
+def range_agg_open(spark, sf):
+    return A.range_agg(R.in_window(T.event_samples(spark, sf), None, None))
+
+
 @query(f"WITH {EVENTS} SELECT series_id, {_floor('ts', DAY)} AS bucket_start, {AGG} FROM ev GROUP BY 1, 2")
 def step_agg(spark, sf):
     return A.step_agg(T.event_samples(spark, sf), DAY)
@@ -198,6 +213,11 @@ def count_series(spark, sf):
     return A.count_series(R.in_window(T.event_samples(spark, sf), None, END))
 
 
+@query(f"WITH {EVENTS} SELECT count(DISTINCT series_id) AS n_series FROM ev")
+def count_series_open(spark, sf):
+    return A.count_series(R.in_window(T.event_samples(spark, sf), None, None))
+
+
 @query(f"WITH {EVENTS} SELECT event_type AS label_value, count(DISTINCT series_id) AS n_series FROM ev GROUP BY 1")
 def count_by_label(spark, sf):
     return A.count_by(T.event_samples(spark, sf), "event_type")
