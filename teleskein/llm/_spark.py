@@ -8,8 +8,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only when it was counted and has no more rows than this.
-BROADCAST_ROWS = 400_000
+#: A side of a join is broadcast only when it was written out and is no larger than this in memory.
+BROADCAST_BYTES = 16 << 20
+#: Bytes of input that a part of a hash space stands for.
+PART_BYTES = 16 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,16 +54,40 @@ def table(df: DataFrame) -> DataFrame:
 pin = table
 
 
-def counted_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Write a join side out and broadcast it only if its counted size allows; else Spark shuffles."""
+def sized_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Write a join side out and broadcast it only if its measured bytes allow; else Spark shuffles. Columns of varying length are summed up, others count by their type."""
     df = pin(df)
-    return F.broadcast(df) if df.count() <= limit else df
+    fixed, varying = 16, []
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            varying.append(F.octet_length(column(f.name)))
+        elif kind in ("array", "map", "struct"):
+            varying.append(F.octet_length(F.to_json(F.struct(column(f.name)))))
+        else:
+            fixed += 8
+    size = sum((F.coalesce(v, F.lit(0)) for v in varying), F.lit(fixed))
+    total = df.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(df) if total <= limit else df
+
+
+def parts_for(df: DataFrame) -> int:
+    """Parts of a hash space for what is derived from df: they follow the bytes of the tables that it reads, and are no fewer than the shuffle partitions."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    read = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(x for x in read if x < 1 << 60)  # Spark says so where it doesn't know
+    return max(partitions(df.sparkSession), min(-(-known // PART_BYTES), 1 << 18))
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def column(name: str) -> Column:
+    """A column of just this name, whatever signs are in it."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
 def row_struct(df: DataFrame) -> Column:
     """The whole row as one column, so that no name of the caller's can clash with a computed one."""
-    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns])
+    return F.struct(*[column(c) for c in df.columns])

@@ -30,9 +30,9 @@ def _prefix(text: Column) -> Column:
 def _survivors(texts: DataFrame) -> DataFrame:
     """(_len, _pre) of groups that content has yet to tell apart. texts: one column, _text."""
     some = texts.where(F.col("_text").isNotNull()).withColumn("_len", _length(F.col("_text")))
-    lengths = _spark.counted_side(some.groupBy("_len").count().where("count > 1").select("_len"))
+    lengths = _spark.sized_side(some.groupBy("_len").count().where("count > 1").select("_len"))
     rest = some.join(lengths, "_len", "left_semi").withColumn("_pre", _prefix(F.col("_text")))
-    return _spark.counted_side(rest.groupBy("_len", "_pre").count().where("count > 1").select("_len", "_pre"))
+    return _spark.sized_side(rest.groupBy("_len", "_pre").count().where("count > 1").select("_len", "_pre"))
 
 
 def _keyed(df: DataFrame) -> DataFrame:

@@ -128,7 +128,7 @@ def cube_sample(found: DataFrame, weights: dict | None = None, rate: float = RAT
             prob[s] = rate if (weights or {}).get(s, 0.0 if weights else 1.0) else 0.0  # a source of empty documents
     schema = f"_source {found.schema['_source'].dataType.simpleString()}, _prob double, _blocks bigint"
     table = spark.createDataFrame([(s, prob[s], max(1, math.ceil(n / block))) for s, (_, n) in per.items()], schema)
-    table = F.broadcast(table) if len(per) <= _spark.BROADCAST_ROWS else table
+    table = F.broadcast(table) if sum(len(str(s)) + 48 for s in per) <= _spark.BROADCAST_BYTES else table
     joined = found.join(table.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
     state = joined.withColumns({"_p": F.col("_prob"), "_now": F.col("_prob"), "_block": F.pmod(F.xxhash64("_k1", F.lit(5)), F.col("_blocks"))})
     columns = "_k1 bigint, _k2 bigint, _id {}, _source {}, _tokens bigint, _rows bigint, _prob double, _blocks bigint, _p double, _now double, _block bigint".format(*(found.schema[c].dataType.simpleString() for c in ("_id", "_source")))
@@ -154,7 +154,7 @@ def mix(docs: DataFrame, weights: dict | None = None, rate: float = RATE, id_col
     text = F.col(text_col)
     key = [F.col(id_col), F.col(source_col), text, text.isNull()]
     rows = docs.select(_spark.row_struct(docs).alias("_row"), F.xxhash64(*key).alias("_k1"), F.xxhash64(F.lit(1), *key[::-1]).alias("_k2"))
-    return rows.join(_spark.counted_side(taken), ["_k1", "_k2"], "left_semi").select("_row.*")
+    return rows.join(_spark.sized_side(taken), ["_k1", "_k2"], "left_semi").select("_row.*")
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

@@ -52,7 +52,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     """A row for each page: id, url, action, and the deciding rule. rules: (rule, action)."""
     listed = rules.where("rule IS NOT NULL AND action IN ('allow', 'block')").groupBy("rule", "action").agg(F.lit(1).alias("n"))
     listed = listed.select(F.sha2("rule", 256).alias("_digest"), F.col("action").alias("_action"), F.col("rule").alias("_rule")).withColumn("_short", F.substring("_digest", 1, 8))
-    listed = _spark.counted_side(listed)
+    listed = _spark.sized_side(listed)
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"))
     spread = rows.select("_url").where("_url IS NOT NULL").distinct().select("_url", F.explode(expressions(F.col("_url"))).alias("_e"))
     spread = spread.select("_url", F.length("_e.h").alias("_hl"), F.length("_e.p").alias("_pl"), F.sha2(F.concat("_e.h", "_e.p"), 256).alias("_full"))

@@ -66,32 +66,60 @@ def test_jaccard_join_equals_brute_force(spark):
     sets = [grams(t, 3) for t in texts]
     want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j]) - 1e-9}
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for heavy in (200, 5):
-        assert {(r["doc_a"], r["doc_b"]) for r in jaccard_join.jaccard_join(df, heavy=heavy).collect()} == want
+    for leaf in (1024, 8, 2):
+        assert {(r["doc_a"], r["doc_b"]) for r in jaccard_join.jaccard_join(df, leaf=leaf).collect()} == want
     root = list(range(len(texts)))
     for _ in range(len(texts)):
         for i, j in want:
             root[i] = root[j] = min(root[i], root[j])
+    for leaf in (1024, 8):
+        groups = {r["doc_id"]: (r["keep_id"], r["n_links"]) for r in jaccard_join.near_groups(df, leaf=leaf).collect()}
+        assert groups == {i: (root[i], sum(i in p for p in want)) for i in range(len(texts))}
     assert {r["doc_id"] for r in jaccard_join.drop_near_duplicates(df).collect()} == {i for i in range(len(texts)) if root[i] == i}
 
 
-def test_regions_split_like_one_leaf():
-    rng = np.random.default_rng(1)
-    sets = []
-    for _ in range(40):
-        base = rng.choice(10**6, 30, replace=False)
-        sets += [np.unique(np.concatenate([base[: 30 - k], rng.choice(10**6, k)])).astype(np.uint64) for k in (0, 3, 6)]
-    home = np.ones(len(sets), bool)
-    ways = [{(min(i, j), max(i, j)) for i, j, _ in jaccard_join.metric_join(sets, home, 0.6, leaf)} for leaf in (10**6, 8)]
-    assert ways[0] == ways[1] and ways[0]
-
-
-def test_jaccard_edges(edge, nothing):
+def test_regions_divide_on_the_cluster(spark):
+    """Three kinds of text around one shared passage: one region, which its pivots divide; and copies of one text, which they can't."""
+    rng = random.Random(8)
+    words = [f"v{i}" for i in range(4000)]
+    passage = rng.choices(words, k=40)
+    texts = []
+    for _ in range(12):
+        base = rng.choices(words, k=25)
+        texts += [" ".join(passage + base[:k] + [rng.choice(words)] + base[k + 1 :]) for k in rng.sample(range(20), 6)]
+    sets = [grams(t, 3) for t in texts]
+    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if len(sets[i] & sets[j]) >= 0.9 * len(sets[i] | sets[j]) - 1e-9}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    chunks = jaccard_join._spark.table(jaccard_join.coded(jaccard_join._texts(df, "doc_id", "text"), 3))
+    placed, stats = jaccard_join.regions(jaccard_join.reaching(chunks, 3, 0.6, 4)[1])
+    assert stats.agg(F.max("n")).first()[0] > 16
+    assert len(jaccard_join.leaves(placed, stats, 0.6, 10**6)) == 1
+    assert len(jaccard_join.leaves(placed, stats, 0.9, 8)) > 2
+    for leaf in (10**6, 16, 4):
+        assert {(r["doc_a"], r["doc_b"]) for r in jaccard_join.jaccard_join(df, 0.9, leaf=leaf).collect()} == want
+
+
+def test_grams_that_agree_in_32_bits_stay_apart():
+    """Cells are whole 64-bit grams."""
+    keys = np.array([5, 5 + (1 << 32), 5 + (1 << 40), 7], np.uint64)
+    low = [np.zeros(0, np.int64)] * 2
+    i, j, near = jaccard_join.leaf_pairs([keys[:3], keys], np.array([3.0, 4.0]), low, np.ones(2, bool), np.full(2, -1), 0.6)
+    assert (list(i), list(j), list(near)) == ([0], [1], [0.75])
+    number, first, times = jaccard_join._chunks.numbered(np.array([9, 3, 9, 0]))
+    assert (list(number), list(first), list(times)) == ([2, 1, 2, 0], [3, 1, 0], [1, 1, 2])
+
+
+def test_jaccard_edges(spark, edge, nothing):
     assert {(r["doc_a"], r["doc_b"]) for r in jaccard_join.jaccard_join(edge).collect()} == {(3, 6)}
+    groups = [tuple(r) for r in jaccard_join.near_groups(edge).collect()]
+    assert sorted(groups, key=str) == sorted([(None, None, 0), (None, None, 0), (1, 1, 0), (2, 2, 0), (3, 3, 2), (3, 3, 2), (6, 3, 2), (4, 4, 0), (5, 5, 0), (7, 7, 0)], key=str)
     kept = jaccard_join.drop_near_duplicates(edge)
     assert kept.columns == edge.columns
-    assert 6 not in {r["doc_id"] for r in kept.collect()}
-    assert jaccard_join.jaccard_join(nothing).count() == jaccard_join.drop_near_duplicates(nothing).count() == 0
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "4", "5", "7", "None", "None"]
+    assert jaccard_join.jaccard_join(nothing).count() == jaccard_join.drop_near_duplicates(nothing).count() == jaccard_join.near_groups(nothing).count() == 0
+    odd = spark.createDataFrame([(5, "a b c d e f"), (1, "a b c d e f"), (5, "quite another text of its own"), (2, None), (3, ""), (4, "e f"), (6, "E F")], "`a``b` long, `t``x` string")
+    kept = jaccard_join.drop_near_duplicates(odd, id_col="a`b", text_col="t`x").collect()
+    assert sorted((r[0], r[1] or "") for r in kept) == [(1, "a b c d e f"), (2, ""), (3, ""), (4, "e f"), (5, "quite another text of its own")]
 
 
 def test_bpe_equals_the_library_and_returns_the_bytes():
