@@ -53,7 +53,36 @@ def numbered(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order of the keys, where each part begins in it): a part holds a range of keys."""
-    order = np.argsort(keys)
+    """(order of the keys, where each part begins in it): a part holds a range of keys, which are hashes. Keys that agree in their high bits come in the order in which they stand."""
+    bits = np.uint64(max(len(keys), 1).bit_length())
+    packed = keys >> bits << bits | np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    order = (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     part = ((keys[order] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    # keys of equal high bits may lie on both sides of a border: a stable sort puts them right
+    if len(part) and (part[1:] < part[:-1]).any():
+        again = np.argsort(part, kind="stable")
+        order, part = order[again], part[again]
     return order, np.searchsorted(part, np.arange(parts + 1))
+
+
+def wrap_small(values: np.ndarray) -> bytes:
+    """Whole numbers, not negative, in the narrowest type that holds them all."""
+    most = int(values.max()) if len(values) else 0
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+    return bytes([width]) + wrap(values.astype(f"u{width}"))
+
+
+def unwrap_small(blob: bytes) -> np.ndarray:
+    return unwrap(blob[1:], f"u{blob[0]}").astype(np.int64)
+
+
+def same(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each key among the distinct ones, a place where each of these stands)."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    at = np.empty(len(keys), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return at, order[new]

@@ -83,9 +83,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
 def column(name: str) -> Column:
     """A column of just this name, whatever signs are in it."""
-    return F.col(f"`{name.replace('`', '``')}`")
+    return F.col(quoted(name))
 
 
 def row_struct(df: DataFrame) -> Column:

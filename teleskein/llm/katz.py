@@ -1,19 +1,22 @@
 """Katz backoff language model: counted over all documents, and applied to every token of them.
 
-p(w | h) = d_r r / c(h) where h w is seen, that is, occurs r >= least times, else alpha(h) p(w | h'),
+p(w | h) = d_r r / c(h) where h w is seen, that is, occurs r >= min_count times, else alpha(h) p(w | h'),
 h' being h without its first word; words themselves have d_r r / N. d_r is the Good-Turing discount
 for r <= K, else 1. alpha(h) gives exactly the mass that h's seen words leave to the mass that h' gives
-to the words not seen after h. The registered query is the full model, least = 1; in one with a higher
-least, rarer n-grams of two words or more count as unseen.
+to the words not seen after h. Two cases differ: where h' gives all its mass to words seen after h there
+is nothing to back off to, so the denominator is their discounted number in place of c(h) and alpha is 0;
+where no count is discounted it is c(h) + 1, so that words not seen keep some mass.
+The registered query has min_count = 1, no n-gram left out; with a higher one, rarer n-grams of two
+words or more count as unseen.
 
 Counts live in tables that are partitioned by hash of the n-gram. Texts are coded once, in chunks of
 about CHUNK_TOKENS words. A chunk sends each distinct n-gram of its own with its number to the part
 that holds it and gets the number over all documents back; one of the chunks that sent an n-gram is
-its owner and adds it to the sums of its context, which go to the part of the context in the same
-way. So every level is evaluated from the one below, per token, and nothing but the numbers of
-n-grams by frequency comes to the driver. An n-gram that holds an unseen one can't be seen, so it
-needn't be sent: with least = 1 all are sent, with least = 2 those that hold one that occurs once are
-known to occur once.
+its owner and adds it to its context, which has a part in the same way: how many n-grams of each number
+follow, and how many of each number the same words have after h', as whole numbers, from which the part
+makes the sums of the formula. So every level is evaluated from the one below, per token, and nothing
+but the numbers of n-grams by frequency comes to the driver. Messages of neighbouring levels go in one
+pass over the chunks.
 
 Defined results: null, empty and word-free texts have n_tokens 0, log_prob 0 and null perplexity; ids
 may be null or repeat, each row counts and is scored by itself; a document's first words have as much
@@ -25,18 +28,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import _spark, _text
+from . import _chunks, _spark, _text
+from ._chunks import unwrap as _unwrap
+from ._chunks import wrap as _wrap
 
 N = 3
 #: Counts up to this one are discounted.
 K = 5
-CHUNK_TOKENS = 1 << 20
-SENT = "part int, chunk bigint, kind string, level int, keys binary, x binary, y binary, z binary"
+CHUNK_TOKENS = _chunks.CHUNK_TOKENS
+#: keys and, of numbers, x; of contexts: how often followed, numbers after it, numbers after its suffix, denominator of that.
+SENT = "part int, chunk bigint, kind string, level int, keys binary, x binary, after binary, below binary, total binary"
 REPLY = "chunk bigint, kind string, level int, part int, x binary, y binary"
 _SENT = [c.split()[0] for c in SENT.split(", ")]
 _REPLY = [c.split()[0] for c in REPLY.split(", ")]
@@ -75,85 +80,87 @@ def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield out()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    rows = docs.select(_spark.column(id_col).alias("_id"), _spark.column(text_col).alias("_text"))
     return rows.mapInArrow(code, f"chunk bigint, ids array<{kind}>, size binary, vocab binary, times binary, idx binary")
 
 
-def _wrap(values: np.ndarray) -> bytes:
-    """Compressed by byte planes: the high bytes of small numbers cost next to nothing."""
-    values = np.ascontiguousarray(values)
-    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes())
-
+def _sent_table(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.int32(), pa.int64(), pa.string(), pa.int32(), *[pa.binary()] * 5]
+    return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], _SENT)
 
-def _unwrap(blob: bytes, dtype) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    return np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
 
+def _reply_table(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], _REPLY)
 
-def _wrap_keys(keys: np.ndarray) -> bytes:
-    return _wrap(np.diff(keys, prepend=np.uint64(0)))
 
+def _by_number(place: np.ndarray, number: np.ndarray, m: int) -> np.ndarray:
+    """(K + 1, m): how many of each number up to K there are at each place, and the sum of those beyond it."""
+    small = number <= K
+    out = np.empty((K + 1, m), np.int64)
+    out[:K] = np.bincount((number[small] - 1) * m + place[small], minlength=K * m).reshape(K, m)
+    out[K] = np.bincount(place[~small], number[~small], m)
+    return out
 
-def _unwrap_keys(blob: bytes) -> np.ndarray:
-    return np.cumsum(_unwrap(blob, np.uint64), dtype=np.uint64)
 
+def _wrap_numbers(matrix: np.ndarray) -> bytes:
+    return b"".join(len(b).to_bytes(4, "big") + b for b in (_chunks.wrap_small(matrix[:K].ravel()), _chunks.wrap_small(matrix[K])))
 
-def _by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order of the keys, where each part begins in it): a part holds a range of keys."""
-    order = np.argsort(keys)
-    part = ((keys[order] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-    return order, np.searchsorted(part, np.arange(parts + 1))
 
+def _unwrap_numbers(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:4], "big")
+    few, many = _chunks.unwrap_small(blob[4 : 4 + n]), _chunks.unwrap_small(blob[8 + n :])
+    return np.concatenate([few, many]).reshape(K + 1, -1)
 
-def _send(chunk: int, kind: str, level: int, keys: np.ndarray, columns: list[np.ndarray], parts: int) -> list[tuple]:
-    order, cut = _by_part(keys, parts)
-    rows = []
-    for p in np.flatnonzero(np.diff(cut)):
-        at = order[cut[p] : cut[p + 1]]
-        blobs = [_wrap(c[at]) for c in columns]
-        rows.append((int(p), chunk, kind, level, _wrap_keys(keys[at]), *blobs, *[None] * (3 - len(blobs))))
-    return rows
 
+def answer(discount: dict):
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: (r["level"], r["chunk"]))
+        out = []
+        for kind, level in sorted({(r["kind"], r["level"]) for r in rows}):
+            own = [r for r in rows if (r["kind"], r["level"]) == (kind, level)]
+            out += (answer_counts if kind == "count" else lambda rows: answer_contexts(rows, discount))(own)
+        return _reply_table(out)
 
-def _sent_table(rows: list[tuple]) -> pa.Table:
-    kinds = [pa.int32(), pa.int64(), pa.string(), pa.int32(), *[pa.binary()] * 4]
-    return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], _SENT)
+    return run
 
 
-def answer_counts(table: pa.Table) -> pa.Table:
+def answer_counts(rows: list[dict]) -> list[tuple]:
     """Of one part: to each chunk its n-grams' numbers over all documents, doubled, plus 1 where it is the owner; and, in rows of chunk -1, how many n-grams have each number."""
-    rows = sorted(table.to_pylist(), key=lambda r: (r["level"], r["chunk"]))
-    out = []
-    for level in sorted({r["level"] for r in rows}):
-        own = [r for r in rows if r["level"] == level]
-        keys = [_unwrap_keys(r["keys"]) for r in own]
-        _, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        total = np.bincount(at, np.concatenate([_unwrap(r["x"], np.uint32) for r in own])).astype(np.int64)
-        reply = total[at] * 2
-        reply[first] += 1
-        stop = np.cumsum([len(k) for k in keys])
-        for r, k, e in zip(own, keys, stop):
-            mine = reply[e - len(k) : e]
-            out.append((r["chunk"], "count", level, r["part"], _wrap(mine), None))
-        out.append((-1, "count", level, own[0]["part"], np.bincount(np.minimum(total, K + 2), minlength=K + 3)[: K + 2].astype(np.int64).tobytes(), np.array([total.sum()], np.int64).tobytes()))
-    return _reply_table(out)
-
-
-def answer_contexts(table: pa.Table) -> pa.Table:
+    keys = [_chunks.unwrap_keys(r["keys"]) for r in rows]
+    at, first = _chunks.same(np.concatenate(keys))
+    total = np.bincount(at, np.concatenate([_chunks.unwrap_small(r["x"]) for r in rows])).astype(np.int64)
+    reply = total[at] * 2
+    reply[first] += 1
+    level, part, out, stop = rows[0]["level"], rows[0]["part"], [], np.cumsum([len(k) for k in keys])
+    for r, k, e in zip(rows, keys, stop):
+        out.append((r["chunk"], "count", level, part, _chunks.wrap_small(reply[e - len(k) : e]), None))
+    out.append((-1, "count", level, part, np.bincount(np.minimum(total, K + 2), minlength=K + 3)[: K + 2].astype(np.int64).tobytes(), np.array([total.sum()], np.int64).tobytes()))
+    return out
+
+
+def answer_contexts(rows: list[dict], discount: dict) -> list[tuple]:
     """Of one part: to each chunk the denominator of its contexts, and the backoff weight of those after which it backs off."""
-    rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
-    keys = [_unwrap_keys(r["keys"]) for r in rows]
-    _, at = np.unique(np.concatenate(keys), return_inverse=True)
-    asked = np.concatenate([_unwrap(r["x"], np.int64) for r in rows])
-    times = np.bincount(at, asked >> 1)
-    seen, lower = (np.bincount(at, np.concatenate([_unwrap(r[c], np.float64) for r in rows])) for c in ("y", "z"))  # the same order each time, so the same sums
+    level = rows[0]["level"]
+    keys = [_chunks.unwrap_keys(r["keys"]) for r in rows]
+    at, first = _chunks.same(np.concatenate(keys))
+    m = len(first)
+    asked = np.concatenate([_chunks.unwrap_small(r["x"]) for r in rows])
+    times = np.bincount(at, asked >> 1, m)
+    below = np.bincount(at, np.concatenate([_unwrap(r["total"], np.float64) for r in rows]), m)  # of one chunk, the owner; the others say 0
+    seen, lower = np.zeros(m), np.zeros(m)
+    for name, out, d in (("after", seen, discount[level]), ("below", lower, discount[level - 1])):
+        numbers = np.concatenate([_unwrap_numbers(r[name]) for r in rows], axis=1)
+        for k in range(K + 1):
+            out += np.bincount(at, numbers[k], m) * (d[k + 1] * (k + 1) if k < K else 1.0)
+    lower /= np.where(below > 0, below, 1.0)
     total, alpha = normalised(times, seen, lower)
     out, begin = [], 0
     for r, k in zip(rows, keys):
         mine, backs_off = at[begin : begin + len(k)], asked[begin : begin + len(k)] & 1
         begin += len(k)
-        out.append((r["chunk"], "context", r["level"], r["part"], _wrap(total[mine]), _wrap(np.where(backs_off, alpha[mine], 0.0))))
-    return _reply_table(out)
+        out.append((r["chunk"], "context", level, r["part"], _wrap(total[mine]), _wrap(np.where(backs_off, alpha[mine], 0.0))))
+    return out
 
 
 def normalised(times: np.ndarray, seen: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,11 +172,6 @@ def normalised(times: np.ndarray, seen: np.ndarray, lower: np.ndarray) -> tuple[
         return total, np.where(full, 0.0, (1 - seen / total) / free)
 
 
-def _reply_table(rows: list[tuple]) -> pa.Table:
-    kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-    return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], _REPLY)
-
-
 def discounts(by_number: np.ndarray, least: int) -> np.ndarray:
     """d_0 to d_K+1; by_number[r] n-grams occur r times. Numbers below ``least`` are unseen."""
     n = by_number.astype(float)
@@ -187,7 +189,7 @@ class Chunk:
     """A chunk's tokens, and what the replies so far say of them."""
 
     def __init__(self, row: dict, replies: list[dict], known: dict, parts: int):
-        self.id, self.parts, self.known = row["chunk"], parts, known
+        self.id, self.parts, self.known, self.least = row["chunk"], parts, known, known["min_count"]
         self.replies: dict = {}
         for r in sorted(replies, key=lambda r: r["part"]):
             self.replies.setdefault((r["kind"], r["level"]), []).append(r)
@@ -196,94 +198,108 @@ class Chunk:
         self.offset = np.arange(len(self.doc)) - np.repeat(np.cumsum(size, dtype=np.int64) - size, size)
         self.keys = {1: np.frombuffer(row["vocab"], np.uint64)}
         self.times = {1: _unwrap(row["times"], np.uint32)}
-        self.local = {1: _unwrap(row["idx"], np.uint32).astype(np.int64)}  # of each token, -1 where not sent
-        self.first: dict[int, np.ndarray] = {}
-        self.skipped: dict[int, int] = {1: 0}
+        self.local = {1: _unwrap(row["idx"], np.uint32).astype(np.int64)}  # n-gram that ends with each token, -1 where the document has fewer words
+        self.prefix: dict[int, np.ndarray] = {}
+        self.suffix: dict[int, np.ndarray] = {}
         self.count: dict[int, np.ndarray] = {}
         self.owner: dict[int, np.ndarray] = {}
+        self.order: dict[int, tuple] = {}
+
+    def extend(self, level: int) -> None:
+        """n-grams of this level, from those of the level below."""
+        below, keys = self.local[level - 1], self.keys[level - 1]
+        at = np.flatnonzero(self.offset >= level - 1)
+        number, first, times = _chunks.numbered(below[at - 1] * len(keys) + below[at])
+        self.prefix[level], self.suffix[level] = below[at[first] - 1], below[at[first]]
+        self.keys[level] = _text.mix64(_text.mix64(keys[self.prefix[level]] + np.uint64(0x9E3779B97F4A7C15 * level % 2**64)) + keys[self.suffix[level]])
+        self.times[level] = times
+        self.local[level] = np.full(len(self.doc), -1)
+        self.local[level][at] = number
 
-    def _received(self, kind: str, level: int, keys: np.ndarray, types) -> list[np.ndarray]:
+    def ordered(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        if level not in self.order:
+            self.order[level] = _chunks.by_part(self.keys[level], self.parts)
+        return self.order[level]
+
+    def received(self, kind: str, level: int, column: str, of: int, read) -> np.ndarray:
+        """Column of the replies, for each n-gram of level ``of``."""
         rows = self.replies.get((kind, level), [])
-        order, _ = _by_part(keys, self.parts)
-        out = []
-        for column, dtype in types:
-            value = np.empty(len(keys), dtype)
-            value[order] = np.concatenate([_unwrap(r[column], dtype) for r in rows]) if rows else 0
-            out.append(value)
+        value = np.concatenate([read(r[column]) for r in rows]) if rows else np.zeros(0, np.int64)
+        out = np.empty(len(self.keys[of]), value.dtype)
+        out[self.ordered(of)[0]] = value
         return out
 
     def learn(self, level: int) -> None:
         """Numbers over all documents of this level's n-grams."""
-        (reply,) = self._received("count", level, self.keys[level], [("x", np.int64)])
+        reply = self.received("count", level, "x", level, _chunks.unwrap_small)
         self.count[level], self.owner[level] = reply >> 1, (reply & 1) > 0
 
-    def seen(self, level: int, least: int | None = None) -> np.ndarray:
-        """Of each token: its n-gram's number here where it occurs ``least`` times, by default as often as the model asks, else -1."""
-        local, count = self.local[level], self.count[level]
-        ok = local >= 0
-        ok[ok] = count[local[ok]] >= (least or self.known["least"])
-        return np.where(ok, local, -1)
-
-    def extend(self, level: int) -> None:
-        """n-grams of this level, from those of the level below."""
-        below = self.seen(level - 1)
-        both = (self.offset >= level - 1) & (below >= 0)
-        both[1:] &= below[:-1] >= 0
-        at = np.flatnonzero(both)
-        width = len(self.keys[level - 1]) + 1
-        code, first, inverse, times = np.unique(below[at - 1] * width + below[at], return_index=True, return_inverse=True, return_counts=True)
-        prefix, suffix = code // width, code % width
-        self.keys[level] = _text.mix64(_text.mix64(self.keys[level - 1][prefix] + np.uint64(0x9E3779B97F4A7C15 * level % 2**64)) + self.keys[level - 1][suffix])
-        self.times[level], self.first[level] = times.astype(np.uint32), at[first]
-        self.local[level] = np.full(len(self.doc), -1)
-        self.local[level][at] = inverse
-        self.skipped[level] = int((self.offset >= level - 1).sum()) - len(at)
-
-    def contexts(self, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """(those n-grams of the level below that occur ``least`` times or more, context of each token among them or -1)."""
-        use = np.flatnonzero(self.count[level - 1] >= self.known["least"])
-        place = np.full(len(self.keys[level - 1]) + 1, -1)
-        place[use] = np.arange(len(use))
+    def send(self, kind: str, level: int, of: int, columns: list[tuple]) -> list[tuple]:
+        """A row for each part. columns: (values, how they are wrapped)."""
+        order, cut = self.ordered(of)
+        columns = [(v[..., order], w) for v, w in columns]
+        keys = self.keys[of][order]
+        rows = []
+        for p in np.flatnonzero(np.diff(cut)):
+            at = slice(cut[p], cut[p + 1])
+            blobs = [w(v[..., at]) for v, w in columns]
+            rows.append((int(p), self.id, kind, level, _chunks.wrap_keys(keys[at]), *blobs, *[None] * (4 - len(blobs))))
+        return rows
+
+    def send_counts(self, level: int) -> list[tuple]:
+        return self.send("count", level, level, [(self.times[level], _chunks.wrap_small)])
+
+    def seen(self, level: int) -> np.ndarray:
+        """Of each token: whether its n-gram occurs often enough."""
+        return np.append(self.count[level] >= (1 if level == 1 else self.least), False)[self.local[level]]
+
+    def context(self, level: int) -> np.ndarray:
+        """Of each token: the n-gram before it, -1 where there is none or it is unseen."""
         before = np.concatenate([[-1], self.local[level - 1][:-1]])[: len(self.doc)]
-        return use, np.where(self.offset >= level - 1, place[before], -1)
+        known = np.append(self.count[level - 1] >= (1 if level == 2 else self.least), False)
+        return np.where((self.offset >= level - 1) & known[before], before, -1)
 
     def send_contexts(self, level: int) -> list[tuple]:
-        use, context = self.contexts(level)
-        times = np.bincount(context[context >= 0], minlength=len(use)).astype(np.int64)
-        gram = np.flatnonzero(self.owner[level] & (self.count[level] >= self.known["least"]))
-        at = self.first[level][gram]
-        number = self.count[level][gram]
-        d = self.known["discount"][level][np.minimum(number, K + 1)]
-        seen = np.bincount(context[at], d * number, len(use))
-        lower = np.bincount(context[at], self.prob(level - 1)[at], len(use))
-        keys = self.keys[level - 1][use]
-        unseen = (context >= 0) & (self.seen(level) < 0)
-        backs_off = np.bincount(context[unseen], minlength=len(use)) > 0
-        return _send(self.id, "context", level, keys, [times * 2 + backs_off, seen.astype(np.float64), lower.astype(np.float64)], self.parts)
+        context, m = self.context(level), len(self.keys[level - 1])
+        times = np.bincount(context[context >= 0], minlength=m)
+        gram = np.flatnonzero(self.owner[level] & (self.count[level] >= self.least))
+        prefix, suffix = self.prefix[level][gram], self.suffix[level][gram]
+        after = _by_number(prefix, self.count[level][gram], m)
+        below = _by_number(prefix, self.count[level - 1][suffix], m)
+        total = np.full(m, float(max(self.known["tokens"], 1)))
+        if level > 2:
+            total = self.received("context", level - 1, "x", level - 2, _float)[self.suffix[level - 1]]
+        total = np.where(self.owner[level - 1], total, 0.0)
+        unseen = context[(context >= 0) & ~self.seen(level)]
+        backs_off = np.bincount(unseen, minlength=m) > 0
+        return self.send("context", level, level - 1, [(times * 2 + backs_off, _chunks.wrap_small), (after, _wrap_numbers), (below, _wrap_numbers), (total, _wrap)])
 
     def prob(self, level: int) -> np.ndarray:
         """Of each token, with a history of up to level - 1 words."""
+        number = np.append(self.count[level], 0)[self.local[level]]
+        discounted = self.known["discount"][level][np.minimum(number, K + 1)] * number
         if level == 1:
-            number = self.count[1][self.local[1]]
-            return self.known["discount"][1][np.minimum(number, K + 1)] * number / max(self.known["tokens"], 1)
+            return discounted / max(self.known["tokens"], 1)
         out = self.prob(level - 1)
-        use, context = self.contexts(level)
-        total, alpha = self._received("context", level, self.keys[level - 1][use], [("x", np.float64), ("y", np.float64)])
+        context = self.context(level)
+        total, alpha = (self.received("context", level, c, level - 1, _float) for c in ("x", "y"))
         have = np.flatnonzero(context >= 0)
         out[have] *= alpha[context[have]]
-        gram = self.seen(level)
-        have = np.flatnonzero(gram >= 0)
-        number = self.count[level][gram[have]]
-        out[have] = self.known["discount"][level][np.minimum(number, K + 1)] * number / total[context[have]]
+        have = np.flatnonzero(self.seen(level))
+        out[have] = discounted[have] / total[self.prefix[level][self.local[level][have]]]
         return out
 
 
-def _restored(table: pa.Table, replies: pa.Table, known: dict, parts: int, upto: int):
-    """The chunk with its n-grams up to a level, all of whose numbers but the last's are known."""
+def _float(blob: bytes) -> np.ndarray:
+    return _unwrap(blob, np.float64)
+
+
+def _restored(table: pa.Table, replies: list[dict], known: dict, parts: int, upto: int):
+    """The chunk with its n-grams up to a level, and such numbers of them as are known."""
     row = table.to_pylist()[0] if table.num_rows else None
     if row is None:
         return None
-    chunk = Chunk(row, replies.to_pylist(), known, parts)
+    chunk = Chunk(row, replies, known, parts)
     for level in range(1, upto + 1):
         if level > 1:
             chunk.extend(level)
@@ -292,41 +308,24 @@ def _restored(table: pa.Table, replies: pa.Table, known: dict, parts: int, upto:
     return chunk
 
 
-def _grams(level: int, known: dict, parts: int):
+def _messages(contexts: int, counts: int, known: dict, parts: int):
+    """Contexts of one level and numbers of another; level 0: none."""
+
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
-        chunk = _restored(left, right, known, parts, level)
+        chunk = _restored(left, right.to_pylist(), known, parts, max(contexts, counts))
         if chunk is None:
             return _sent_table([])
-        rows = _send(chunk.id, "count", level, chunk.keys[level], [chunk.times[level]], parts)
-        return _sent_table([*rows, (-1 - chunk.id % parts, chunk.id, "skipped", level, None, np.array([chunk.skipped[level]], np.int64).tobytes(), None, None)])
+        return _sent_table([*(chunk.send_contexts(contexts) if contexts else []), *(chunk.send_counts(counts) if counts else [])])
 
     return send
 
 
-def _count(table: pa.Table) -> pa.Table:
-    if table["part"][0].as_py() >= 0:
-        return answer_counts(table)
-    total = sum(int(np.frombuffer(x, np.int64)[0]) for x in table["x"].to_pylist())
-    return _reply_table([(-2, "skipped", table["level"][0].as_py(), -1, np.array([total], np.int64).tobytes(), None)])
-
-
-def _contexts(level: int, known: dict, parts: int):
-    def send(left: pa.Table, right: pa.Table) -> pa.Table:
-        chunk = _restored(left, right, known, parts, level)
-        return _sent_table(chunk.send_contexts(level) if chunk else [])
-
-    return send
-
-
-def score(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text", least: int = 2) -> DataFrame:
-    """(id, n_tokens, log_prob, perplexity, backed_off) of each document; log_prob is natural, backed_off counts tokens that had a full history and used less of it. least: 1 for the full model, 2 for one without n-grams of two words or more that occur once."""
-    if least not in (1, 2):  # of n-grams that aren't sent only those that occur once are counted
-        raise ValueError("least is 1 or 2")
-    spark = docs.sparkSession
-    parts = _spark.partitions(spark)
+def score(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text", min_count: int = 1) -> DataFrame:
+    """(id, n_tokens, log_prob, perplexity, backed_off) of each document; log_prob is natural, backed_off counts tokens that had a full history and used less of it. n-grams of two words or more that occur less than min_count times count as unseen."""
+    parts = _spark.parts_for(docs.select(_spark.column(text_col)))
     coded = _spark.table(chunks(docs, id_col, text_col))
     slim = coded.drop("ids")
-    known: dict = {"discount": {}, "tokens": 0, "least": least}
+    known: dict = {"discount": {}, "tokens": 0, "min_count": min_count}
     replies: list[DataFrame] = []
 
     def all_replies() -> DataFrame:
@@ -338,46 +337,47 @@ def score(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "
     def passed(step, source: DataFrame, schema: str) -> DataFrame:
         return source.groupBy("chunk").cogroup(all_replies().groupBy("chunk")).applyInArrow(step, schema)
 
-    def first_level(batches):
+    def first_levels(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                sent = _send(row["chunk"], "count", 1, np.frombuffer(row["vocab"], np.uint64), [_unwrap(row["times"], np.uint32)], parts)
-                yield from _sent_table(sent).to_batches()
-
-    def take_numbers(found: DataFrame, level: int, skipped: int = 0) -> None:
-        by_number, tokens = np.zeros(K + 2, np.int64), 0
-        for r in found.where("chunk = -1").select("level", "x", "y").toLocalIterator():  # one small row for each part
-            if r["level"] == level:
-                by_number += np.frombuffer(r["x"], np.int64)
-                tokens += int(np.frombuffer(r["y"], np.int64)[0])
-        by_number[1] += skipped
-        known["discount"][level] = discounts(by_number, 1 if level == 1 else least)
-        if level == 1:
-            known["tokens"] = tokens
-
-    found = _spark.table(slim.select("chunk", "vocab", "times").mapInArrow(first_level, SENT).groupBy("part").applyInArrow(answer_counts, REPLY))
-    replies.append(found)
-    take_numbers(found, 1)
-    for level in range(2, n + 1):
-        so_far = known | {"discount": dict(known["discount"])}
-        found = _spark.table(passed(_grams(level, so_far, parts), slim, SENT).groupBy("part").applyInArrow(_count, REPLY))
+                chunk = Chunk(row, [], known, parts)
+                rows = chunk.send_counts(1)
+                if n > 1:
+                    chunk.extend(2)
+                    rows += chunk.send_counts(2)
+                yield from _sent_table(rows).to_batches()
+
+    def answered(sent: DataFrame, *levels: int) -> None:
+        found = _spark.table(sent.groupBy("part").applyInArrow(answer(dict(known["discount"])), REPLY))
         replies.append(found)
-        take_numbers(found, level, sum(int(np.frombuffer(r["x"], np.int64)[0]) for r in found.where("chunk = -2").select("x").toLocalIterator()))
+        numbers = found.where("chunk = -1").select("level", "x", "y").toLocalIterator()  # small rows, one for each part and level
+        sums = {level: [np.zeros(K + 2, np.int64), 0] for level in levels}
+        for r in numbers:
+            sums[r["level"]][0] += np.frombuffer(r["x"], np.int64)
+            sums[r["level"]][1] += int(np.frombuffer(r["y"], np.int64)[0])
+        for level, (by_number, tokens) in sums.items():
+            known["discount"][level] = discounts(by_number, 1 if level == 1 else min_count)
+            if level == 1:
+                known["tokens"] = tokens
+
+    answered(slim.mapInArrow(first_levels, SENT), *range(1, min(n, 2) + 1))
+    for level in range(2, n + 1):
+        after = level + 1 if level < n else 0
         so_far = known | {"discount": dict(known["discount"])}
-        replies.append(_spark.table(passed(_contexts(level, so_far, parts), slim, SENT).groupBy("part").applyInArrow(answer_contexts, REPLY)))
+        answered(passed(_messages(level, after, so_far, parts), slim, SENT), *([after] if after else []))
 
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "n_tokens", "log_prob", "perplexity", "backed_off"]
-    shape = f"`{id_col}` {kind}, n_tokens bigint, log_prob double, perplexity double, backed_off bigint"
+    shape = f"{_spark.quoted(id_col)} {kind}, n_tokens bigint, log_prob double, perplexity double, backed_off bigint"
 
     def final(left: pa.Table, right: pa.Table) -> pa.Table:
-        chunk = _restored(left, right, known, parts, n)
+        chunk = _restored(left, right.to_pylist(), known, parts, n)
         if chunk is None:
             return pa.table([pa.array([], k) for k in (left["ids"].type.value_type, pa.int64(), pa.float64(), pa.float64(), pa.int64())], names)
         ids = left["ids"].combine_chunks().flatten()
         tokens = np.bincount(chunk.doc, minlength=len(ids))
         log = np.bincount(chunk.doc, np.log(np.maximum(chunk.prob(n), 1e-300)), len(ids)).astype(np.float64)
-        less = (chunk.offset >= n - 1) & (chunk.seen(n, None if n > 1 else 1) < 0)
+        less = (chunk.offset >= n - 1) & ~chunk.seen(n)
         some = tokens > 0
         ppl = np.exp(np.minimum(-log / np.maximum(tokens, 1), 700))
         return pa.table([ids, pa.array(tokens), pa.array(np.round(log, 6)), pa.array(np.round(ppl, 6), mask=~some), pa.array(np.bincount(chunk.doc, less, len(ids)).astype(np.int64))], names)
@@ -386,4 +386,4 @@ def score(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "
 
 
 def op7_lm_scoring(spark, sf_dir: str) -> DataFrame:
-    return score(_spark.read(spark, sf_dir, "documents"), least=1)
+    return score(_spark.read(spark, sf_dir, "documents"), min_count=1)

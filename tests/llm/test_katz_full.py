@@ -42,7 +42,7 @@ def test_full_model_equals_the_formulas(spark, monkeypatch, n):
     monkeypatch.setattr(katz, "CHUNK_TOKENS", 12)
     df = spark.createDataFrame(list(TEXTS.items()), "doc_id long, text string").repartition(3)
     want, _ = full_model(TEXTS, n)
-    got = {r["doc_id"]: r for r in katz.score(df, n, least=1).collect()}
+    got = {r["doc_id"]: r for r in katz.score(df, n, min_count=1).collect()}
     assert got.keys() == want.keys()
     for i, log in want.items():
         assert got[i]["log_prob"] == pytest.approx(log, abs=1e-5)
