@@ -60,7 +60,7 @@ def tokenize(text) -> Column:
 
 
 def count_tokens(text) -> Column:
-    return F.size(tokenize(text))
+    return F.regexp_count(_col(text), F.lit("[A-Za-z0-9]+"))
 
 
 def safe_tokens(literal: str, left_pinned: bool = False, right_pinned: bool = False) -> list[str]:
@@ -81,7 +81,7 @@ def safe_tokens(literal: str, left_pinned: bool = False, right_pinned: bool = Fa
 
 
 def go_float(x: float | None) -> str | None:
-    """Shortest text of a float: exponent form below 1e-4 and from 1e21 on."""
+    """Shortest text of a float in the form 'g': with an exponent where it is below -4 or above 5."""
     if x is None:
         return None
     x = float(x)
@@ -98,7 +98,7 @@ def go_float(x: float | None) -> str | None:
     digits = whole + part
     lead = len(digits) - len(digits.lstrip("0"))
     digits, point = digits.lstrip("0").rstrip("0"), point - lead
-    if not -4 <= point - 1 < 21:
+    if not -4 <= point - 1 < 6:
         e = point - 1
         return f"{sign}{digits[0]}{'.' + digits[1:] if len(digits) > 1 else ''}e{'-' if e < 0 else '+'}{abs(e):02d}"
     if point <= 0:
@@ -132,28 +132,49 @@ def any_value_text(v: Column) -> Column:
 
 def content_id(*parts) -> Column:
     """128-bit content hash in hex; lengths go in, so that no two lists of parts look alike."""
-    return F.md5(F.concat(*[F.concat(F.coalesce(F.length(_col(p).cast("string")).cast("string"), F.lit("n")), F.lit(":"), F.coalesce(_col(p).cast("string"), F.lit(""))) for p in parts]))
+    listed = F.array(*[_col(p).cast("string") for p in parts])  # in a lambda each part is computed once, however deep ids nest
+    return F.md5(F.array_join(F.transform(listed, lambda p: F.concat(F.coalesce(F.length(p).cast("string"), F.lit("n")), F.lit(":"), F.coalesce(p, F.lit("")))), ""))
 
 
 def series_id(labels: Column) -> Column:
     """Of a map of labels, whatever the order of its entries."""
-    return content_id(F.to_json(F.array_sort(F.map_entries(labels))))
+    return content_id(map_text(labels))
+
+
+def map_text(labels: Column) -> Column:
+    """A map as text, whatever the order of its entries."""
+    return F.to_json(F.array_sort(F.map_entries(labels)))
+
+
+def identity(resource, resource_schema, scope_name, scope_version, scope_schema, scope_attributes, *more) -> Column:
+    """Content id of an identity by level: resource, scope, and what the signal adds. Each level is delimited, so one attribute of the resource and the same of a point tell two series apart. Attributes: typed lists in order, as text."""
+    empty = [F.coalesce(_col(x).cast("string"), F.lit("")) for x in (resource_schema, scope_name, scope_version, scope_schema)]
+    return content_id(F.lit("identity"), resource, *empty, scope_attributes, *more)
 
 
 def fold_identity(labels: Column, name, unit=None, kind=None, temporality=None, monotonic=None) -> Column:
-    """The metric's identity as reserved labels beside its own."""
+    """The metric's identity as reserved labels beside its own; labels of these names give way."""
     pairs = zip(RESERVED, (name, unit, kind, temporality, monotonic))
     given = [x for key, v in pairs if v is not None for x in (F.lit(key), _col(v).cast("string"))]
-    return F.map_filter(F.map_concat(labels, F.create_map(*given)), lambda k, v: v.isNotNull())
+    own = F.map_filter(labels, lambda k, v: ~k.isin(*given_names(name, unit, kind, temporality, monotonic)))
+    return F.map_filter(F.map_concat(own, F.create_map(*given)), lambda k, v: v.isNotNull())
+
+
+def given_names(*values) -> list[str]:
+    return [key for key, v in zip(RESERVED, values) if v is not None]
 
 
-def prom_labels(resource: Column, scope_name, scope_version, point: Column) -> Column:
-    """One flat map; point wins over scope, scope over resource; reserved keys but __name__ are hidden."""
-    scope = F.map_filter(F.create_map(F.lit("otel.scope.name"), _col(scope_name), F.lit("otel.scope.version"), _col(scope_version)), lambda k, v: v.isNotNull() & (v != ""))
+def prom_labels(resource: Column, scope_name, scope_version, point: Column, scope_attributes: Column | None = None) -> Column:
+    """One flat map; point wins over scope, scope over resource; reserved keys are hidden: fold_identity says what they are. The scope's own attributes go under otel.scope."""
+    own = F.map_filter(F.create_map(F.lit("otel.scope.name"), _col(scope_name), F.lit("otel.scope.version"), _col(scope_version)), lambda k, v: v.isNotNull() & (v != ""))
     keep = lambda m, over: F.map_filter(m, lambda k, v: ~F.map_contains_key(over, k))
+    scope = own
+    if scope_attributes is not None:
+        named = F.transform_keys(F.coalesce(scope_attributes, F.create_map().cast("map<string,string>")), lambda k, v: F.concat(F.lit("otel.scope."), k))
+        scope = F.map_concat(own, keep(named, own))
     merged = F.map_concat(point, keep(scope, point))
     merged = F.map_concat(merged, keep(resource, merged))
-    return F.map_filter(merged, lambda k, v: ~k.isin(*RESERVED[1:]))
+    return F.map_filter(merged, lambda k, v: ~k.isin(*RESERVED))
 
 
 def overflow_labels(name) -> Column:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import gcd
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
@@ -41,23 +42,56 @@ def step_agg(samples: DataFrame, step: int, by=("series_id",), weighted: bool =
     return finish(samples.withColumn("bucket_start", start).groupBy(*by, "bucket_start").agg(*partial(weighted)))
 
 
+#: A cell is copied into its windows where these are no more than so many; else windows look up two running aggregates.
+MOST_COPIES = 16
+
+
 def window_agg(samples: DataFrame, step: int, window: int, anchor: int = 0, end: int | None = None, by=("series_id",), weighted: bool = False) -> DataFrame:
     """In windows (t - window, t] that end at anchor + k step and not after end; empty windows have no row.
 
-    Where the window is a multiple of the step, samples are first added up in cells (b - step, b], so
-    that cells and not samples are copied into each window that holds them.
+    Samples are first added up in cells (b - g, b], g being the common divisor of step and window, so
+    that borders of windows are borders of cells. Where a cell is in few windows it is copied into each.
     """
-    phase = V.phase_of(anchor, step)
+    phase, grain = V.phase_of(anchor, step), gcd(step, window)
     last = None if end is None else end - (end - phase) % step
     clip = lambda c: c if last is None else F.least(c, F.lit(last))
-    if window % step == 0:
-        cells = samples.withColumn("_a", V.ceil_to("ts", step, phase)).groupBy(*by, "_a").agg(*partial(weighted))
-        cells = cells.withColumn("_b", clip(F.col("_a") + F.lit(window - step)))
-        spread = cells.where("_a <= _b").withColumn("window_end", F.explode(F.sequence("_a", "_b", F.lit(step))))
+    cells = samples.withColumn("_b", V.ceil_to("ts", grain, phase % grain)).groupBy(*by, "_b").agg(*partial(weighted))
+    cells = cells.withColumns({"_first": V.ceil_to("_b", step, phase), "_last": clip(V.floor_to(F.col("_b") + F.lit(window - grain), step, phase))})
+    if window <= MOST_COPIES * step:
+        spread = cells.where("_first <= _last").withColumn("window_end", F.explode(F.sequence("_first", "_last", F.lit(step))))
         return finish(spread.groupBy(*by, "window_end").agg(*combine()))
-    rows = samples.withColumns({"_a": V.ceil_to("ts", step, phase), "_b": clip(V.floor_to(F.col("ts") + F.lit(window - 1), step, phase))})
-    spread = rows.where("_a <= _b").withColumn("window_end", F.explode(F.sequence("_a", "_b", F.lit(step))))
-    return finish(spread.groupBy(*by, "window_end").agg(*partial(weighted)))
+    return finish(_long_windows(cells, step, window, phase, by))
+
+
+def _long_windows(cells: DataFrame, step: int, window: int, phase: int, by) -> DataFrame:
+    """Of windows that hold many steps: no cell is copied into them.
+
+    Time is cut in blocks as long as a window, so that a window is the end of one block and the beginning
+    of the next. Aggregates that run from a block's beginning, and from its end, are looked up by the
+    last cell at or before the window's end and the first one after its begin.
+    """
+    names = ["count", "sum", "min", "max"]
+    run = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
+    block = lambda x: x - F.pmod(x, F.lit(window))
+    cells = cells.withColumn("_k", block(F.col("_b")))
+    own = [*by, "_k"]
+    up, down = (Window.partitionBy(*own).orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.col("_b").asc(), F.col("_b").desc()))
+    # ends of windows that hold a cell, each given by the last cell before it in its block: so hardly any twice
+    nearer = F.lead("_first").over(Window.partitionBy(*own).orderBy("_b")) - F.lit(step)
+    ends = cells.withColumn("_last", F.least("_last", F.coalesce(nearer, F.col("_last")))).where("_first <= _last")
+    ends = ends.select(*by, F.explode(F.sequence("_first", "_last", F.lit(step))).alias("window_end")).distinct()
+
+    def looked_up(way, order, k, at, query_first: bool) -> DataFrame:
+        running = cells.select(*own, F.col("_b").alias("_at"), F.lit(1 if query_first else 0).alias("_tag"), F.lit(None).cast("bigint").alias("window_end"), F.struct(*[run[c](c).over(way).alias(c) for c in names]).alias("_v"))
+        asked = ends.select(*by, k.alias("_k"), at.alias("_at"), F.lit(0 if query_first else 1).alias("_tag"), "window_end", F.lit(None).cast(running.schema["_v"].dataType).alias("_v"))
+        before = Window.partitionBy(*own).orderBy(order, "_tag").rowsBetween(Window.unboundedPreceding, 0)
+        found = running.unionByName(asked).withColumn("_v", F.last("_v", ignorenulls=True).over(before))
+        return found.where("window_end IS NOT NULL AND _v IS NOT NULL").select(*by, "window_end", "_v.*")
+
+    t = F.col("window_end")
+    begin = looked_up(up, F.col("_at").asc(), block(t), t, False)
+    rest = looked_up(down, F.col("_at").desc(), block(t) - F.lit(window), t - F.lit(window), True)
+    return begin.unionByName(rest).groupBy(*by, "window_end").agg(*combine())
 
 
 def merge_aggregates(*shards: DataFrame, by=("series_id",)) -> DataFrame:

@@ -118,11 +118,13 @@ def project(df: DataFrame, names, always=("tenant", "stream_id", "ts")) -> DataF
     return df.select(*[c for c in dict.fromkeys([*always, *names]) if c in df.columns])
 
 
-def freshest(samples: DataFrame, keys=("series_id", "ts"), order: str = "ingest_seq") -> DataFrame:
-    """One row for each (series, ts): the last written. An aggregate, so that it combines before the shuffle."""
-    rest = [c for c in samples.columns if c not in keys]
+def freshest(samples: DataFrame, keys=("series_id", "ts"), order: str = "ingest_seq", columns=None) -> DataFrame:
+    """One row for each (series, ts): the last written. An aggregate, so that it combines before the shuffle. columns: what is wanted beside the keys, by default all; what isn't named isn't carried."""
+    if columns is not None:
+        samples = samples.select(*keys, *columns, *([order] if order not in columns else []))
+    rest = [c for c in samples.columns if c not in keys and (columns is None or c in columns)]
     best = samples.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_b"))
-    return best.select(*[c if c in keys else F.col(f"_b.`{c}`").alias(c) for c in samples.columns])
+    return best.select(*[c if c in keys else F.col(f"_b.`{c}`").alias(c) for c in samples.columns if c in keys or c in rest])
 
 
 def fetch_metrics(samples: DataFrame, series: DataFrame | None, request: Request, named: bool = False) -> DataFrame:

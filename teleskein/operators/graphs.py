@@ -14,19 +14,21 @@ def nested_sets(spans: DataFrame) -> DataFrame:
     names = spans.columns
 
     def number(frames):
-        """Rows come by trace; the last trace of a batch may go on in the next."""
-        rest = None
+        """Rows come by trace; the last trace of a batch may go on in the next, and its pieces are put together once."""
+        rest: list[pd.DataFrame] = []
         for pdf in frames:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
             trace = pdf["trace_id"].to_numpy()
-            cut = len(pdf) - 1
-            while cut > 0 and trace[cut - 1] == trace[-1]:
-                cut -= 1
-            rest = pdf.iloc[cut:]
-            if cut:
-                yield _numbered(pdf.iloc[:cut])
-        if rest is not None and len(rest):
-            yield _numbered(rest)
+            if rest and rest[0]["trace_id"].iloc[0] == trace[-1]:
+                rest.append(pdf)
+                continue
+            cut = int((trace == trace[-1]).argmax())
+            if rest or cut:
+                yield _numbered(pd.concat([*rest, pdf.iloc[:cut]], ignore_index=True))
+            rest = [pdf.iloc[cut:]]
+        if rest:
+            yield _numbered(pd.concat(rest, ignore_index=True))
 
     shape = ", ".join(f"`{n}` {t}" for n, t in spans.dtypes)
     known = spans.where("trace_id IS NOT NULL").repartition("trace_id").sortWithinPartitions("trace_id", "ts", "span_id")
@@ -124,10 +126,16 @@ def location_id(frame: Column) -> Column:
     return V.content_id(F.lit("location"), V.content_id(F.lit("function"), V.content_id(F.lit("string"), name)), line)
 
 
+def stack_totals(samples: DataFrame) -> DataFrame:
+    """(id, location_ids, frames, value): values added up by stack. Frames are grouped as they are, so that each distinct stack is hashed once."""
+    totals = samples.groupBy("frames").agg(F.sum("value").alias("value"))
+    ids = totals.withColumn("location_ids", F.transform("frames", location_id))
+    return ids.select(V.content_id(F.lit("stack"), F.array_join("location_ids", ",")).alias("id"), "location_ids", "frames", "value")
+
+
 def stack_table(stacks: DataFrame) -> DataFrame:
     """(id, location_ids) of the distinct stacks."""
-    ids = F.transform("frames", location_id)
-    return stacks.select(ids.alias("location_ids")).select(V.content_id(F.lit("stack"), F.to_json("location_ids")).alias("id"), "location_ids").dropDuplicates(["id"])
+    return stack_totals(stacks.select("frames", F.lit(1).alias("value"))).select("id", "location_ids").dropDuplicates(["id"])
 
 
 def resolve_stacks(stacks: DataFrame, symbols: dict[str, DataFrame]) -> DataFrame:

@@ -25,20 +25,31 @@ def _rolled(agg: str) -> tuple[Column, Column]:
 
 
 def downsample(samples: DataFrame, tiers: list[tuple[int, int, str]]) -> DataFrame:
-    """(series_id, ts, value, sf). tiers: (before, interval, aggregation); a sample older than several goes by the one with the least ``before``; newer ones stay. Where cells of two tiers begin together the finer stays."""
-    tiers = sorted(tiers)
-    interval = F.lit(0).cast("bigint")
-    for before, step, _ in reversed(tiers):
-        interval = F.when(F.col("ts") < before, F.lit(step).cast("bigint")).otherwise(interval)
-    tagged = samples.withColumn("_iv", interval)
-    pieces = [tagged.where("_iv = 0").select("series_id", "ts", "_iv", "value", V.weight().alias("sf"))]
-    for step, agg in dict.fromkeys((step, agg) for _, step, agg in tiers):
-        value, w = _rolled(agg)
-        cells = tagged.where(F.col("_iv") == step).groupBy("series_id", V.floor_to("ts", step).alias("_start")).agg(value.alias("value"), w.alias("sf"))
-        pieces.append(cells.select("series_id", F.col("_start").alias("ts"), F.lit(step).cast("bigint").alias("_iv"), "value", "sf"))
-    out = pieces[0]
-    for p in pieces[1:]:
-        out = out.unionByName(p)
+    """(series_id, ts, value, sf). tiers: (before, interval, aggregation), those without interval don't count; a sample older than several goes by the one with the least ``before``; newer ones stay.
+
+    Cells are those of an interval: where tiers of one interval meet in a cell, the tier of its oldest
+    sample says how all of it is combined. Where cells of two intervals begin together the finer stays.
+    """
+    tiers = sorted((t for t in tiers if t[1] > 0), key=lambda t: t[0])
+    tier, interval = F.lit(len(tiers)), F.lit(0).cast("bigint")
+    for k, (before, step, _) in reversed(list(enumerate(tiers))):
+        older = F.col("ts") < before
+        tier, interval = F.when(older, F.lit(k)).otherwise(tier), F.when(older, F.lit(step).cast("bigint")).otherwise(interval)
+    tagged = samples.withColumns({"_tier": tier, "_iv": interval})
+    start = F.when(F.col("_iv") > 0, F.col("ts") - F.pmod(F.col("ts"), F.greatest(F.col("_iv"), F.lit(1)))).otherwise(F.col("ts"))
+    kinds = list(dict.fromkeys(["last", *(V.parse_aggregation(agg) for _, _, agg in tiers)]))
+    rolled = {agg: _rolled(agg) for agg in kinds}
+    cells = tagged.groupBy("series_id", "_iv", start.alias("_start")).agg(F.min("_tier").alias("_tier"), *[c[k].alias(f"_{agg}{k}") for agg, c in rolled.items() for k in (0, 1)])
+
+    def chosen(k: int) -> Column:
+        out = F.col(f"_last{k}")
+        for at, (_, _, agg) in enumerate(tiers):
+            out = F.when(F.col("_tier") == at, F.col(f"_{agg.lower()}{k}")).otherwise(out)
+        return out
+
+    out = cells.select("series_id", F.col("_start").alias("ts"), "_iv", chosen(0).alias("value"), chosen(1).alias("sf"))
+    if len({step for _, step, _ in tiers}) < 2:
+        return out.drop("_iv")
     best = out.groupBy("series_id", "ts").agg(F.min_by(F.struct("value", "sf"), F.col("_iv")).alias("b"))
     return best.select("series_id", "ts", "b.value", "b.sf")
 

@@ -108,7 +108,7 @@ def shard_merge(spark, sf):
 @query(f"WITH {LINES}, r AS (SELECT *, row_number() OVER (PARTITION BY series_id, ts ORDER BY ingest_seq DESC, value DESC) AS n FROM li) SELECT series_id, ts, CAST(value AS DOUBLE) AS value, ingest_seq FROM r WHERE n = 1")
 def dedup_last_wins(spark, sf):
     rows = T.line_samples(spark, sf).withColumn("_o", F.struct("ingest_seq", "value"))
-    return R.freshest(rows, order="_o").select("series_id", "ts", F.col("value").cast("double").alias("value"), "ingest_seq")
+    return R.freshest(rows, order="_o", columns=["value", "ingest_seq"]).select("series_id", "ts", F.col("value").cast("double").alias("value"), "ingest_seq")
 
 
 @query(f"WITH {LINES}, r AS (SELECT *, row_number() OVER (PARTITION BY series_id, ts ORDER BY tenant DESC, ingest_seq DESC, value DESC) AS n FROM li) SELECT series_id, ts, CAST(value AS DOUBLE) AS value FROM r WHERE n = 1")
@@ -368,9 +368,9 @@ def logs_for_traces(spark, sf):
 )
 def symbol_resolve(spark, sf):
     p = T.part_profiles(spark, sf)
-    ids = F.transform("frames", G.location_id)
-    totals = p.select(V.content_id(F.lit("stack"), F.to_json(ids)).alias("stack_id"), "value").groupBy("stack_id").agg(F.sum("value").alias("value"))
-    return totals.join(G.resolve_stacks(G.stack_table(p), G.symbol_tables(p)), "stack_id").select("value", "depth", "function")
+    totals = G.stack_totals(p)
+    symbols = G.symbol_tables(totals)
+    return G.resolve_stacks(totals.select("id", "location_ids"), symbols).join(totals.select(F.col("id").alias("stack_id"), "value"), "stack_id").select("value", "depth", "function")
 
 
 @query(f"WITH {LINES}, b AS (SELECT l_returnflag AS flag, CASE WHEN value <= 10000 THEN 10000.0 WHEN value <= 50000 THEN 50000.0 ELSE 'Infinity'::DOUBLE END AS le FROM li), n AS (SELECT flag, le, count(*) AS n FROM b GROUP BY 1, 2) SELECT flag, CAST(le AS VARCHAR) AS le, CAST(sum(n) OVER (PARTITION BY flag ORDER BY n.le) AS BIGINT) AS cumulative FROM n")

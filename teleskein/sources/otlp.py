@@ -6,10 +6,14 @@ strings in OTLP/JSON and cast here. Histograms of every kind become plain series
 
 from __future__ import annotations
 
+import base64
+import json
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import values as V
 
@@ -24,13 +28,13 @@ _METRIC = (
     f"struct<name:string,unit:string,gauge:struct<dataPoints:array<{_NUMBER}>>,sum:struct<dataPoints:array<{_NUMBER}>,aggregationTemporality:int,isMonotonic:boolean>,"
     f"histogram:struct<dataPoints:array<{_HIST}>,aggregationTemporality:int>,exponentialHistogram:struct<dataPoints:array<{_EXP}>,aggregationTemporality:int>,summary:struct<dataPoints:array<{_SUMMARY}>>>"
 )
-_SCOPE = "struct<name:string,version:string>"
+_SCOPE = f"struct<name:string,version:string,attributes:{_ATTRS}>"
 _LOG = f"struct<timeUnixNano:string,observedTimeUnixNano:string,severityNumber:int,severityText:string,body:{_ANY},attributes:{_ATTRS},traceId:string,spanId:string,flags:bigint,droppedAttributesCount:bigint>"
 _SPAN = f"struct<traceId:string,spanId:string,parentSpanId:string,name:string,kind:int,startTimeUnixNano:string,endTimeUnixNano:string,attributes:{_ATTRS},status:struct<code:int,message:string>>"
 
 
 def _schema(outer: str, inner: str, items: str, kind: str) -> str:
-    return f"{outer} array<struct<resource:struct<attributes:{_ATTRS}>,{inner}:array<struct<scope:{_SCOPE},{items}:array<{kind}>>>>>"
+    return f"{outer} array<struct<resource:struct<attributes:{_ATTRS}>,schemaUrl:string,{inner}:array<struct<scope:{_SCOPE},schemaUrl:string,{items}:array<{kind}>>>>>"
 
 
 METRICS = _schema("resourceMetrics", "scopeMetrics", "metrics", _METRIC)
@@ -42,54 +46,132 @@ def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def go_quote(text: str) -> str:
+    """Text in double quotes, with what can't be printed escaped."""
+    short = {"\a": "\\a", "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\v": "\\v", '"': '\\"', "\\": "\\\\"}
+
+    def one(c: str) -> str:
+        if c in short or c.isprintable():
+            return short.get(c, c)
+        n = ord(c)
+        return f"\\x{n:02x}" if n < 0x80 else f"\\u{n:04x}" if n < 0x10000 else f"\\U{n:08x}"
+
+    return f'"{"".join(map(one, text))}"'
+
+
+def plain_text(value, inside: bool = False) -> str:
+    """Canonical text of an OTLP value, as parsed JSON or as a row of the schema (there lists and maps are JSON text). inside: within a list or map."""
+    if not value:
+        return ""
+    kind, x = next(((k, v) for k, v in value.items() if v is not None), (None, None))
+    if kind in ("arrayValue", "kvlistValue"):
+        values = (json.loads(x) if isinstance(x, str) else x).get("values") or []
+        if kind == "arrayValue":
+            return "[" + ",".join(plain_text(v, True) for v in values) + "]"
+        first: dict = {}
+        for e in values:
+            first.setdefault(e.get("key", ""), e.get("value"))
+        return "{" + ",".join(f"{go_quote(k)}:{plain_text(first[k], True)}" for k in sorted(first, key=lambda k: k.encode())) + "}"
+    if kind == "doubleValue":
+        return V.go_float(float(x))
+    if kind == "boolValue":
+        return "true" if x in (True, "true") else "false"
+    text = "" if kind is None else base64.b64decode(x).decode("utf-8", "replace") if kind == "bytesValue" else str(x)
+    return go_quote(text) if inside and kind in ("stringValue", "bytesValue") else text
+
+
+_KINDS = ("stringValue", "boolValue", "intValue", "doubleValue", "bytesValue", "arrayValue", "kvlistValue")
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _rich_texts(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda values: None if values is None else [plain_text(v) if v and any(x is not None for x in v.values()) else None for v in values])
+
+
+def _is_rich(v: Column) -> Column:
+    return v["doubleValue"].isNotNull() | v["bytesValue"].isNotNull() | v["arrayValue"].isNotNull() | v["kvlistValue"].isNotNull()
+
+
+def texts(values: Column) -> Column:
+    """Canonical texts of an array of values, null for empty ones. Only arrays that hold doubles, bytes, lists or maps go to Python, in Arrow batches."""
+    simple = F.transform(values, lambda v: F.coalesce(v["stringValue"], v["boolValue"].cast("string"), v["intValue"]))
+    return F.coalesce(_rich_texts(F.when(F.exists(values, _is_rich), values)), simple)
+
+
 def any_text(v: Column) -> Column:
     """Canonical text of an OTLP value; null if it has none."""
-    return F.coalesce(v["stringValue"], v["boolValue"].cast("string"), v["intValue"], V.float_text(v["doubleValue"]), v["bytesValue"], v["arrayValue"], v["kvlistValue"])
+    return F.get(texts(F.array(v)), F.lit(0))
 
 
-def _simple_text(v: Column) -> Column:
-    """As any_text; doubles in Spark's own form, as Python functions don't go into lambdas."""
-    return F.coalesce(v["stringValue"], v["boolValue"].cast("string"), v["intValue"], F.regexp_replace(v["doubleValue"].cast("string"), r"\.0$", ""), v["bytesValue"], v["arrayValue"], v["kvlistValue"])
+def _firsts(list_: Column) -> Column:
+    """Entries of which a key repeats count once, the first."""
+    some = F.coalesce(list_, F.array().cast(_ATTRS))
+    names = F.transform(some, lambda a: a["key"])
+    return F.filter(some, lambda a, i: F.array_position(names, a["key"]) == i + 1)
 
 
 def attributes(list_: Column) -> Column:
     """Map of canonical texts; of a repeated key the first stays."""
-    some = F.coalesce(list_, F.array().cast(_ATTRS))
-    names = F.transform(some, lambda a: a["key"])
-    first = F.filter(some, lambda a, i: F.array_position(names, a["key"]) == i + 1)
-    return F.map_from_entries(F.transform(first, lambda a: F.struct(a["key"], _simple_text(a["value"]))))
+    first = _firsts(list_)
+    return F.map_from_arrays(F.transform(first, lambda a: a["key"]), texts(F.transform(first, lambda a: a["value"])))
+
+
+def typed(list_: Column) -> Column:
+    """Attributes as one text that tells types apart, in the order of keys: the number 1 is not the text '1'."""
+    first = _firsts(list_)
+    kind = lambda a: F.coalesce(*[F.when(a["value"][k].isNotNull(), F.lit(i)) for i, k in enumerate(_KINDS)], F.lit(-1))
+    rows = F.arrays_zip(F.transform(first, lambda a: a["key"]).alias("k"), F.transform(first, kind).alias("t"), texts(F.transform(first, lambda a: a["value"])).alias("v"))
+    return F.to_json(F.array_sort(rows))
 
 
 def _leaves(df: DataFrame, outer: str, inner: str, items: str) -> DataFrame:
-    r = df.select(F.explode(outer).alias("r")).select(attributes(F.col("r.resource.attributes")).alias("resource"), F.explode(f"r.{inner}").alias("s"))
-    return r.select("resource", F.col("s.scope").alias("scope"), F.explode(f"s.{items}").alias("x"))
+    """Resource and scope with their identity by level, and each leaf."""
+    r = df.select(F.explode(outer).alias("r"))
+    r = r.select(attributes(F.col("r.resource.attributes")).alias("resource"), typed(F.col("r.resource.attributes")).alias("resource_id"), F.col("r.schemaUrl").alias("resource_schema"), F.explode(f"r.{inner}").alias("s"))
+    s = r.select("resource", "resource_id", "resource_schema", F.col("s.scope").alias("_scope"), F.col("s.schemaUrl").alias("scope_schema"), F.col(f"s.{items}").alias("_items"))
+    s = s.withColumns({"_attrs": attributes(F.col("_scope.attributes")), "_typed": typed(F.col("_scope.attributes"))})
+    scope = F.struct(F.col("_scope.name").alias("name"), F.col("_scope.version").alias("version"), F.col("scope_schema").alias("schema"), F.col("_attrs").alias("attributes"), F.col("_typed").alias("typed"))
+    return s.select("resource", "resource_id", "resource_schema", scope.alias("scope"), F.explode("_items").alias("x"))
+
+
+def _identity(*more) -> Column:
+    return V.identity("resource_id", "resource_schema", F.col("scope.name"), F.col("scope.version"), F.col("scope.schema"), F.col("scope.typed"), *more)
+
+
+def _labels(point: Column | None = None) -> Column:
+    return V.prom_labels(F.col("resource"), F.col("scope.name"), F.col("scope.version"), point if point is not None else F.create_map().cast("map<string,string>"), F.col("scope.attributes"))
 
 
 def _points(leaves: DataFrame, kind: str) -> DataFrame:
     temporality = F.col(f"x.{kind}.aggregationTemporality") if kind in ("sum", "histogram", "exponentialHistogram") else F.lit(None).cast("int")
     monotonic = F.col("x.sum.isMonotonic") if kind == "sum" else F.lit(None).cast("boolean")
     rows = leaves.where(F.col(f"x.{kind}").isNotNull())
-    return rows.select("resource", "scope", F.col("x.name").alias("name"), F.col("x.unit").alias("unit"), F.lit(kind).alias("kind"), temporality.alias("temporality"), monotonic.alias("monotonic"), F.explode(f"x.{kind}.dataPoints").alias("p"))
+    return rows.select("resource", "resource_id", "resource_schema", "scope", F.col("x.name").alias("name"), F.col("x.unit").alias("unit"), F.lit(kind).alias("kind"), temporality.alias("temporality"), monotonic.alias("monotonic"), F.explode(f"x.{kind}.dataPoints").alias("p"))
 
 
-_OUT = ["resource", "scope", "name", "unit", "kind", "temporality", "monotonic"]
+_OUT = ["resource", "resource_id", "resource_schema", "scope", "name", "unit", "kind", "temporality", "monotonic"]
 
 
 def numbers(leaves: DataFrame, kind: str) -> DataFrame:
     p = _points(leaves, kind)
-    return p.select(*_OUT, attributes(F.col("p.attributes")).alias("point"), F.col("p.timeUnixNano").cast("bigint").alias("ts"), F.coalesce(F.col("p.asDouble"), F.col("p.asInt").cast("double")).alias("value"))
+    return p.select(*_OUT, attributes(F.col("p.attributes")).alias("point"), typed(F.col("p.attributes")).alias("point_id"), F.col("p.timeUnixNano").cast("bigint").alias("ts"), F.coalesce(F.col("p.asDouble"), F.col("p.asInt").cast("double")).alias("value"))
 
 
-def _series(p: DataFrame, suffix: str, value: Column, extra: Column | None = None) -> DataFrame:
-    point = attributes(F.col("p.attributes"))
-    return p.select(*[F.concat("name", F.lit(suffix)).alias("name") if c == "name" else c for c in _OUT], (F.map_concat(point, extra) if extra is not None else point).alias("point"), F.col("p.timeUnixNano").cast("bigint").alias("ts"), value.cast("double").alias("value"))
+def _series(p: DataFrame, suffix: str, value: Column, extra: tuple[str, Column] | None = None) -> DataFrame:
+    """extra: a label that the series adds; an attribute of its name gives way."""
+    point, point_id = attributes(F.col("p.attributes")), typed(F.col("p.attributes"))
+    if extra is not None:
+        name, text = extra
+        point = F.map_concat(F.map_filter(point, lambda k, v: k != name), F.create_map(F.lit(name), text))
+        point_id = F.concat(point_id, F.lit(f" {name} "), text)
+    return p.select(*[F.concat("name", F.lit(suffix)).alias("name") if c == "name" else c for c in _OUT], point.alias("point"), point_id.alias("point_id"), F.col("p.timeUnixNano").cast("bigint").alias("ts"), value.cast("double").alias("value"))
 
 
 def cumulative(p: DataFrame, buckets: Column) -> DataFrame:
     """_bucket series from array<struct<le double, n double>> in rising order of le."""
     with_running = F.transform(F.sequence(F.lit(1), F.size(buckets)), lambda i: F.struct(buckets[i - 1]["le"].alias("le"), F.aggregate(F.slice(buckets, 1, i), F.lit(0.0), lambda a, b: a + b["n"]).alias("n")))
     rows = p.select("*", F.explode(with_running).alias("_b"))
-    return _series(rows.withColumn("_le", V.float_text(F.col("_b.le"))), "_bucket", F.col("_b.n"), F.create_map(F.lit("le"), F.col("_le")))
+    return _series(rows.withColumn("_le", V.float_text(F.col("_b.le"))), "_bucket", F.col("_b.n"), ("le", F.col("_le")))
 
 
 def histograms(leaves: DataFrame) -> DataFrame:
@@ -122,7 +204,7 @@ def exponential_histograms(leaves: DataFrame) -> DataFrame:
 def summaries(leaves: DataFrame) -> DataFrame:
     p = _points(leaves, "summary")
     q = p.select("*", F.explode("p.quantileValues").alias("_q")).withColumn("_t", V.float_text(F.col("_q.quantile")))
-    return reduce(DataFrame.unionByName, [_series(p, "_count", F.col("p.count")), _series(p, "_sum", F.col("p.sum")), _series(q, "", F.col("_q.value"), F.create_map(F.lit("quantile"), F.col("_t")))])
+    return reduce(DataFrame.unionByName, [_series(p, "_count", F.col("p.count")), _series(p, "_sum", F.col("p.sum")), _series(q, "", F.col("_q.value"), ("quantile", F.col("_t")))])
 
 
 def metric_points(df: DataFrame) -> DataFrame:
@@ -132,10 +214,11 @@ def metric_points(df: DataFrame) -> DataFrame:
 
 
 def project_metrics(points: DataFrame, tenant: Column | None = None) -> DataFrame:
-    """samples with labels: identity is resource, scope, name and the rest folded into labels."""
-    labels = V.fold_identity(V.prom_labels(F.col("resource"), F.col("scope.name"), F.col("scope.version"), F.col("point")), "name", "unit", "kind", V.temporality("temporality"), "monotonic")
-    rows = points.where("value IS NOT NULL").withColumn("labels", labels)
-    return rows.select((tenant if tenant is not None else F.lit("default")).alias("tenant"), V.series_id(F.col("labels")).alias("series_id"), "labels", "ts", "value", F.lit(1.0).alias("sf"))
+    """samples with labels: identity goes by level (resource, scope, point, then name, unit, kind, temporality and monotonicity), labels fold it into one map."""
+    kind, order = V.temporality("temporality"), F.col("monotonic")
+    labels = V.fold_identity(_labels(F.col("point")), "name", "unit", "kind", kind, "monotonic")
+    rows = points.where("value IS NOT NULL").withColumns({"labels": labels, "series_id": _identity("point_id", "name", "unit", "kind", kind, order)})
+    return rows.select((tenant if tenant is not None else F.lit("default")).alias("tenant"), "series_id", "labels", "ts", "value", F.lit(1.0).alias("sf"))
 
 
 def dropped_points(points: DataFrame) -> DataFrame:
@@ -146,7 +229,7 @@ def log_records(df: DataFrame) -> DataFrame:
     x = _leaves(df, "resourceLogs", "scopeLogs", "logRecords")
     rows = x.withColumn("body", any_text(F.col("x.body")))
     return rows.select(
-        F.lit("default").alias("tenant"), V.series_id(F.col("resource")).alias("stream_id"), F.col("resource").alias("labels"), F.col("x.timeUnixNano").cast("bigint").alias("ts"), F.col("x.observedTimeUnixNano").cast("bigint").alias("observed"),
+        F.lit("default").alias("tenant"), _identity().alias("stream_id"), _labels().alias("labels"), F.col("x.timeUnixNano").cast("bigint").alias("ts"), F.col("x.observedTimeUnixNano").cast("bigint").alias("observed"),
         F.col("x.severityNumber").alias("severity"), F.col("x.severityText").alias("severity_text"), F.coalesce("body", F.lit("")).alias("body"), F.lower("x.traceId").alias("trace_id"), F.lower("x.spanId").alias("span_id"),
         attributes(F.col("x.attributes")).alias("attrs"), F.col("x.flags").alias("flags"), F.col("x.droppedAttributesCount").alias("dropped"),
     )
@@ -157,7 +240,7 @@ def span_records(df: DataFrame) -> DataFrame:
     x = _leaves(df, "resourceSpans", "scopeSpans", "spans")
     start, end = F.col("x.startTimeUnixNano").cast("bigint"), F.col("x.endTimeUnixNano").cast("bigint")
     return x.select(
-        F.lit("default").alias("tenant"), V.series_id(F.col("resource")).alias("stream_id"), F.col("resource").alias("labels"), start.alias("ts"), (end - start).alias("duration"), F.col("x.kind").alias("kind"),
+        F.lit("default").alias("tenant"), _identity().alias("stream_id"), _labels().alias("labels"), start.alias("ts"), (end - start).alias("duration"), F.col("x.kind").alias("kind"),
         F.col("x.status.code").alias("status_code"), F.col("x.status.message").alias("status_message"), F.lower("x.traceId").alias("trace_id"), F.lower("x.spanId").alias("span_id"), F.lower("x.parentSpanId").alias("parent_span_id"),
         F.col("x.name").alias("name"), attributes(F.col("x.attributes")).alias("attrs"),
     )
