@@ -86,3 +86,14 @@ def same(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.empty(len(keys), np.int64)
     at[order] = np.cumsum(new) - 1
     return at, order[new]
+
+
+def wrap_ranks(ranks: np.ndarray) -> bytes:
+    """Whole numbers, not negative, that rise but for few: by their steps."""
+    steps = np.diff(ranks, prepend=0)
+    width = 4 if not len(ranks) or int(ranks.max()) < 1 << 31 else 8
+    return bytes([width]) + wrap(steps.astype(f"i{width}"))
+
+
+def unwrap_ranks(blob: bytes) -> np.ndarray:
+    return np.cumsum(unwrap(blob[1:], f"i{blob[0]}"), dtype=np.int64)

@@ -3,7 +3,8 @@
 All pairs of documents whose sets of word n-grams have Jaccard similarity of at least t, that is a
 distance of at most e = 1 - t. Documents with one and the same set enter once.
 
-1. Reach. Each n-gram's number of documents is counted over all of them. A document of whose grams
+1. Reach. Each n-gram's number of documents is counted over all of them (copies of a set count once in
+   a chunk of documents, so a number is never too low). A document of whose grams
    more than a share of e occur nowhere else is farther than e from all others, so it is alone. With
    grams ordered by rising count, two documents within e share one of the first |x| - ceil(t |x|) + 1
    grams of both; those grams that others hold are the cells of a document.
@@ -38,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import _chunks, _spark, _text
+from . import _chunks, _groups, _spark, _text
 
 N = 3
 THRESHOLD = 0.6
@@ -134,16 +135,13 @@ def coded(texts: DataFrame, n: int) -> DataFrame:
     return texts.mapInArrow(code, f"chunk bigint, ids array<{kind}>, row_keys array<bigint>, sids array<bigint>, size binary, vocab binary, idx binary")
 
 
-def _first_sets(row: dict, n: int):
-    """(places, copies, document of each gram among these, gram, keys) of the documents that stand for their set."""
-    firsts = sorted((f["place"], f["copies"]) for f in row["firsts"])
-    place, copies = (np.array([f[k] for f in firsts], np.int64) for k in range(2))
+def _decoded(row: dict, place: np.ndarray, n: int):
+    """(document among these places, gram, hash of each gram)."""
     size = _chunks.unwrap(row["size"], np.int32).astype(np.int64)
     idx = _chunks.unwrap(row["idx"], np.uint32).astype(np.int64)
     use = np.zeros(len(size), bool)
     use[place] = True
-    idx = idx[np.repeat(use, size)]
-    return (place, copies, *gram_sets(idx, np.frombuffer(row["vocab"], np.uint64), size[place], n))
+    return gram_sets(idx[np.repeat(use, size)], np.frombuffer(row["vocab"], np.uint64), size[place], n)
 
 
 def reaching(chunks: DataFrame, n: int, threshold: float, parts: int) -> tuple[DataFrame, DataFrame]:
@@ -151,13 +149,15 @@ def reaching(chunks: DataFrame, n: int, threshold: float, parts: int) -> tuple[D
     rows = chunks.select("chunk", F.posexplode(F.arrays_zip("ids", "row_keys", "sids")).alias("place", "m")).where("m.sids IS NOT NULL")
     row = F.struct(F.col("m.ids").alias("id"), F.col("m.row_keys").alias("key"))
     firsts = _spark.table(rows.groupBy(F.col("m.sids").alias("sid")).agg(F.min(F.struct("chunk", "place")).alias("at"), F.count(F.lit(1)).alias("copies"), F.min(row).alias("row")))
-    of_chunk = firsts.groupBy("at.chunk").agg(F.collect_list(F.struct("at.place", "copies")).alias("firsts"))
-    work = chunks.select("chunk", "sids", "size", "vocab", "idx").join(_spark.sized_side(of_chunk), "chunk")
+    work = chunks.select("chunk", "sids", "size", "vocab", "idx")
 
     def send(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                _, _, _, gram, keys = _first_sets(row, n)
+                sid, place = np.unique([-1 if s is None else s for s in row["sids"]], return_index=True)
+                if not len(place := np.sort(place[sid >= 0])):
+                    continue
+                _, gram, keys = _decoded(row, place, n)
                 times = np.bincount(gram, minlength=len(keys)).astype(np.uint32)
                 order, cut = _chunks.by_part(keys, parts)
                 at = np.flatnonzero(np.diff(cut))
@@ -172,17 +172,26 @@ def reaching(chunks: DataFrame, n: int, threshold: float, parts: int) -> tuple[D
         found = [_chunks.wrap(total[e - len(k) : e]) for k, e in zip(keys, stop)]
         return pa.table([table["chunk"], table["part"], pa.array(found, pa.binary())], ["chunk", "part", "number"])
 
-    sent = work.drop("sids").mapInArrow(send, "part int, chunk bigint, keys binary, times binary")
+    sent = work.mapInArrow(send, "part int, chunk bigint, keys binary, times binary")
     replies = _spark.table(sent.groupBy("part").applyInArrow(answer, "chunk bigint, part int, number binary"))
-    replied = work.join(_spark.sized_side(replies.groupBy("chunk").agg(F.collect_list(F.struct("part", "number")).alias("replies"))), "chunk")
+    replied = work.join(replies.groupBy("chunk").agg(F.collect_list(F.struct("part", "number")).alias("replies")), "chunk")
+    replied = replied.join(firsts.groupBy(F.col("at.chunk").alias("chunk")).agg(F.collect_list(F.struct("at.place", "copies")).alias("firsts")), "chunk")
 
     def keep(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                place, copies, doc, gram, keys = _first_sets(row, n)
+                own = np.sort(np.unique([-1 if s is None else s for s in row["sids"]], return_index=True)[1])
+                own = own[[row["sids"][p] is not None for p in own]]
+                doc, gram, keys = _decoded(row, own, n)
                 order, _ = _chunks.by_part(keys, parts)
                 number = np.empty(len(keys), np.int64)
                 number[order] = np.concatenate([_chunks.unwrap(r["number"], np.uint16) for r in sorted(row["replies"], key=lambda r: r["part"])])
+                firsts = sorted((f["place"], f["copies"]) for f in row["firsts"])  # of the sets that have been told apart in this chunk, those that stand for their copies everywhere
+                place, copies = (np.array([f[k] for f in firsts], np.int64) for k in range(2))
+                among = np.full(len(own), -1)
+                among[np.searchsorted(own, place)] = np.arange(len(place))
+                doc = among[doc]
+                doc, gram = doc[doc >= 0], gram[doc >= 0]
                 size = np.bincount(doc, minlength=len(place))
                 shared = number[gram] >= 2
                 cells = np.bincount(doc[shared], minlength=len(place)) - least(size, threshold) + 1
@@ -343,19 +352,6 @@ def leaf_pairs(sets, size, lower, home, side, threshold: float) -> tuple[np.ndar
     return i, j, both[i, j].astype(np.float64) / (size[i] + size[j] - both[i, j])
 
 
-def _least_of(i: np.ndarray, j: np.ndarray, m: int) -> np.ndarray:
-    """The least member of each one's component."""
-    low = np.arange(m)
-    while True:
-        new = low.copy()
-        np.minimum.at(new, i, low[j])
-        np.minimum.at(new, j, low[i])
-        new = new[new]
-        if (new == low).all():
-            return low
-        low = new
-
-
 def _solved(batches, threshold: float, pairs: bool):
     """Rows come by region. pairs: (a, b, jaccard); else (document, least document that it hangs together with here, its links)."""
     names, kinds = (["a", "b", "jaccard"], (pa.int64(), pa.int64(), pa.float64())) if pairs else (["a", "b", "links"], (pa.int64(), pa.int64(), pa.int64()))
@@ -378,7 +374,7 @@ def _solved(batches, threshold: float, pairs: bool):
             return
         links = np.bincount(i, copies[j], len(sid)) + np.bincount(j, copies[i], len(sid))
         who = np.flatnonzero(links)
-        out.append([sid[who], sid[_least_of(i, j, len(sid))[who]], links[who].astype(np.int64)])
+        out.append([sid[who], sid[_groups.least_of(i, j, len(sid))[who]], links[who].astype(np.int64)])
 
     def table():
         columns = [np.concatenate([o[k] for o in out]) if out else [] for k in range(3)]
@@ -438,37 +434,10 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, id_c
     return both.join(left, "a").join(right, "b").where("doc_a < doc_b").groupBy("doc_a", "doc_b").agg(F.round(F.max("jaccard"), 6).alias("jaccard"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, root): the least id of each connected component. edges: (a, b). Rounds of hooking to the least neighbour; each halves long paths."""
-    now = _spark.pin(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    while True:
-        ways = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = ways.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        # large star: larger neighbours hang on the least; then small star: smaller ones do
-        large = ways.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least_ = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least_, "a").select("b", "m").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = _spark.pin(small.unionByName(least_.select("a", F.col("m").alias("b"))).distinct())
-        changed = after.join(now, ["a", "b"], "left_anti").limit(1).count() + now.join(after, ["a", "b"], "left_anti").limit(1).count()
-        now = after
-        if not changed:
-            return now.select(F.col("a").alias("id"), F.col("b").alias("root"))
-
-
-def _grouped(firsts: DataFrame, found: DataFrame) -> DataFrame:
-    """(sid, links, row): of each set its documents' number of partners, and the least row of all that hang together."""
-    links = found.groupBy(F.col("a").alias("sid")).agg(F.sum("links").alias("links"))
-    roots = components(found.select("a", "b")).withColumnRenamed("id", "sid")
-    sets = firsts.select("sid", "copies", "row").join(links, "sid", "left").join(roots, "sid", "left")
-    sets = sets.select("sid", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.col("row"), "root")
-    low = sets.groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("row").alias("row"))
-    return _spark.table(sets.select("sid", "links", F.coalesce("root", "sid").alias("root")).join(low, "root").select("sid", "links", "row"))
-
-
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF) -> DataFrame:
     """A row for each input row: its id, keep_id (the least id of all documents that it hangs together with by pairs at or above the threshold), n_links (its own number of such pairs)."""
     chunks, firsts, found = _compared(_texts(docs, id_col, text_col), n, threshold, leaf, False)
-    sets = _grouped(firsts, found).select("sid", F.col("row.id").alias("keep_id"), F.col("links").alias("n_links"))
+    sets = _groups.grouped(firsts, found).select("sid", F.col("row.id").alias("keep_id"), F.col("links").alias("n_links"))
     members = _members(chunks)
     near = members.where("sid IS NOT NULL").join(sets, "sid").select(F.col("id").alias(id_col), "keep_id", "n_links")
     alone = members.where("sid IS NULL").select("id").unionByName(docs.where(_spark.column(id_col).isNull() | _spark.column(text_col).isNull()).select(_spark.column(id_col).alias("id")))
@@ -478,7 +447,7 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, id_co
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF) -> DataFrame:
     """The rows that stay, with all their columns: of each group of rows that hang together by near pairs, one that has the least id; if rows of other texts have that id too, one of them."""
     chunks, firsts, found = _compared(_texts(docs, id_col, text_col), n, threshold, leaf, False)
-    sets = _grouped(firsts, found).where("links > 0").select("sid", "row")
+    sets = _groups.grouped(firsts, found).where("links > 0").select("sid", "row")
     members = _members(chunks).join(sets, "sid")
     gone = members.where("row.id <> id OR row.key <> key").select("id", "key").distinct()
     stays = members.where("row.id = id AND row.key = key").groupBy("id", "key").count().where("count > 1").select("id", "key")
