@@ -40,7 +40,7 @@ N = 3
 #: Counts up to this one are discounted.
 K = 5
 CHUNK_TOKENS = _chunks.CHUNK_TOKENS
-#: keys and, of numbers, x; of contexts: how often followed, numbers after it, numbers after its suffix, denominator of that.
+#: Of numbers: keys, and x, the number here. Of contexts: in place of keys their ranks, how often followed (x), numbers after it, numbers after its suffix, denominator of that.
 SENT = "part int, chunk bigint, kind string, level int, keys binary, x binary, after binary, below binary, total binary"
 REPLY = "chunk bigint, kind string, level int, part int, x binary, y binary"
 _SENT = [c.split()[0] for c in SENT.split(", ")]
@@ -113,20 +113,20 @@ def _unwrap_numbers(blob: bytes) -> np.ndarray:
     return np.concatenate([few, many]).reshape(K + 1, -1)
 
 
-def answer(discount: dict):
+def answer(discount: dict, n: int):
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: (r["level"], r["chunk"]))
         out = []
         for kind, level in sorted({(r["kind"], r["level"]) for r in rows}):
             own = [r for r in rows if (r["kind"], r["level"]) == (kind, level)]
-            out += (answer_counts if kind == "count" else lambda rows: answer_contexts(rows, discount))(own)
+            out += answer_counts(own, level < n) if kind == "count" else answer_contexts(own, discount)
         return _reply_table(out)
 
     return run
 
 
-def answer_counts(rows: list[dict]) -> list[tuple]:
-    """Of one part: to each chunk its n-grams' numbers over all documents, doubled, plus 1 where it is the owner; and, in rows of chunk -1, how many n-grams have each number."""
+def answer_counts(rows: list[dict], ranks: bool) -> list[tuple]:
+    """Of one part: to each chunk its n-grams' numbers over all documents, doubled, plus 1 where it is the owner, and with ranks their places among all n-grams of the part, by which they are named from then on; and, in rows of chunk -1, how many n-grams have each number."""
     keys = [_chunks.unwrap_keys(r["keys"]) for r in rows]
     at, first = _chunks.same(np.concatenate(keys))
     total = np.bincount(at, np.concatenate([_chunks.unwrap_small(r["x"]) for r in rows])).astype(np.int64)
@@ -134,7 +134,7 @@ def answer_counts(rows: list[dict]) -> list[tuple]:
     reply[first] += 1
     level, part, out, stop = rows[0]["level"], rows[0]["part"], [], np.cumsum([len(k) for k in keys])
     for r, k, e in zip(rows, keys, stop):
-        out.append((r["chunk"], "count", level, part, _chunks.wrap_small(reply[e - len(k) : e]), None))
+        out.append((r["chunk"], "count", level, part, _chunks.wrap_small(reply[e - len(k) : e]), _chunks.wrap_ranks(at[e - len(k) : e]) if ranks else None))
     out.append((-1, "count", level, part, np.bincount(np.minimum(total, K + 2), minlength=K + 3)[: K + 2].astype(np.int64).tobytes(), np.array([total.sum()], np.int64).tobytes()))
     return out
 
@@ -142,9 +142,9 @@ def answer_counts(rows: list[dict]) -> list[tuple]:
 def answer_contexts(rows: list[dict], discount: dict) -> list[tuple]:
     """Of one part: to each chunk the denominator of its contexts, and the backoff weight of those after which it backs off."""
     level = rows[0]["level"]
-    keys = [_chunks.unwrap_keys(r["keys"]) for r in rows]
-    at, first = _chunks.same(np.concatenate(keys))
-    m = len(first)
+    keys = [_chunks.unwrap_ranks(r["keys"]) for r in rows]
+    at = np.concatenate(keys)
+    m = int(at.max()) + 1
     asked = np.concatenate([_chunks.unwrap_small(r["x"]) for r in rows])
     times = np.bincount(at, asked >> 1, m)
     below = np.bincount(at, np.concatenate([_unwrap(r["total"], np.float64) for r in rows]), m)  # of one chunk, the owner; the others say 0
@@ -234,20 +234,25 @@ class Chunk:
         reply = self.received("count", level, "x", level, _chunks.unwrap_small)
         self.count[level], self.owner[level] = reply >> 1, (reply & 1) > 0
 
-    def send(self, kind: str, level: int, of: int, columns: list[tuple]) -> list[tuple]:
-        """A row for each part. columns: (values, how they are wrapped)."""
+    def ranks(self, level: int) -> np.ndarray:
+        """Of this level's n-grams in the order of their parts: their places there."""
+        rows = self.replies.get(("count", level), [])
+        return np.concatenate([_chunks.unwrap_ranks(r["y"]) for r in rows]) if rows else np.zeros(0, np.int64)
+
+    def send(self, kind: str, level: int, of: int, names: tuple, columns: list[tuple]) -> list[tuple]:
+        """A row for each part. names: of the n-grams in the order of parts; columns: of those in their own order; each (values, how they are wrapped)."""
         order, cut = self.ordered(of)
-        columns = [(v[..., order], w) for v, w in columns]
-        keys = self.keys[of][order]
+        columns = [names, *((v[..., order], w) for v, w in columns)]
         rows = []
         for p in np.flatnonzero(np.diff(cut)):
             at = slice(cut[p], cut[p + 1])
             blobs = [w(v[..., at]) for v, w in columns]
-            rows.append((int(p), self.id, kind, level, _chunks.wrap_keys(keys[at]), *blobs, *[None] * (4 - len(blobs))))
+            rows.append((int(p), self.id, kind, level, *blobs, *[None] * (5 - len(blobs))))
         return rows
 
     def send_counts(self, level: int) -> list[tuple]:
-        return self.send("count", level, level, [(self.times[level], _chunks.wrap_small)])
+        names = (self.keys[level][self.ordered(level)[0]], _chunks.wrap_keys)
+        return self.send("count", level, level, names, [(self.times[level], _chunks.wrap_small)])
 
     def seen(self, level: int) -> np.ndarray:
         """Of each token: whether its n-gram occurs often enough."""
@@ -272,7 +277,8 @@ class Chunk:
         total = np.where(self.owner[level - 1], total, 0.0)
         unseen = context[(context >= 0) & ~self.seen(level)]
         backs_off = np.bincount(unseen, minlength=m) > 0
-        return self.send("context", level, level - 1, [(times * 2 + backs_off, _chunks.wrap_small), (after, _wrap_numbers), (below, _wrap_numbers), (total, _wrap)])
+        names = (self.ranks(level - 1), _chunks.wrap_ranks)
+        return self.send("context", level, level - 1, names, [(times * 2 + backs_off, _chunks.wrap_small), (after, _wrap_numbers), (below, _wrap_numbers), (total, _wrap)])
 
     def prob(self, level: int) -> np.ndarray:
         """Of each token, with a history of up to level - 1 words."""
@@ -348,7 +354,7 @@ def score(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "
                 yield from _sent_table(rows).to_batches()
 
     def answered(sent: DataFrame, *levels: int) -> None:
-        found = _spark.table(sent.groupBy("part").applyInArrow(answer(dict(known["discount"])), REPLY))
+        found = _spark.table(sent.groupBy("part").applyInArrow(answer(dict(known["discount"]), n), REPLY))
         replies.append(found)
         numbers = found.where("chunk = -1").select("level", "x", "y").toLocalIterator()  # small rows, one for each part and level
         sums = {level: [np.zeros(K + 2, np.int64), 0] for level in levels}
