@@ -63,6 +63,13 @@ def count_tokens(text) -> Column:
     return F.regexp_count(_col(text), F.lit("[A-Za-z0-9]+"))
 
 
+def attribute_tokens(attrs) -> Column:
+    """What a filter of attributes indexes: of each its key with the whole value, and its key with each word of it."""
+    pair = lambda key, x: F.concat(key, F.lit("\0"), x)
+    each = F.transform(F.map_entries(_col(attrs)), lambda e: F.concat(F.array(pair(e["key"], e["value"])), F.transform(tokenize(e["value"]), lambda w: pair(e["key"], w))))
+    return F.array_distinct(F.flatten(each))
+
+
 def safe_tokens(literal: str, left_pinned: bool = False, right_pinned: bool = False) -> list[str]:
     """Tokens that every text containing the literal must have: those that can't continue beyond it."""
     out, at, n = [], 0, len(literal)
@@ -182,7 +189,9 @@ def overflow_labels(name) -> Column:
 
 
 def sample_hash(sid, ts) -> Column:
-    return F.xxhash64(_col(sid), _col(ts))
+    """60 bits, the same in any engine that has MD5."""
+    text = F.concat(_col(sid).cast("string"), F.lit(":"), _col(ts).cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
 def shard_of(sid, shards: int) -> Column:

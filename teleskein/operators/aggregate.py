@@ -167,6 +167,11 @@ def parts(table: DataFrame) -> DataFrame:
     )
 
 
+def series_stats(table: DataFrame) -> DataFrame:
+    """A row for each series of each file: samples, bounds of time, and count, sum, least and greatest of values."""
+    return finish(table.groupBy(F.col("_metadata.file_name").alias("part"), "series_id").agg(F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"), *partial()))
+
+
 def efficiency(table: DataFrame) -> DataFrame:
     return parts(table).agg(F.sum("n_rows").alias("points"), F.sum("bytes").alias("bytes"), (F.sum("bytes") / F.sum("n_rows")).alias("bytes_per_point"))
 

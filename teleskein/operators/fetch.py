@@ -7,7 +7,7 @@ NULL would drop rows that a negative matcher accepts.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from operator import and_
 
@@ -138,6 +138,18 @@ def fetch_metrics(samples: DataFrame, series: DataFrame | None, request: Request
     return freshest(rows)
 
 
+def fetch_split(samples: DataFrame, series: DataFrame | None, request: Request, step: int) -> DataFrame:
+    """As fetch_metrics, one fetch for each sub-window of the grid; these don't overlap, so their results add up by union."""
+    if request.start is None or request.end is None:
+        raise ValueError("a window that is split has both ends")
+    out, begin = None, request.start
+    while begin <= request.end:
+        end = min(begin - begin % step + step - 1, request.end)
+        part = fetch_metrics(samples, series, replace(request, start=begin, end=end))
+        out, begin = part if out is None else out.unionByName(part), end + 1
+    return out if out is not None else fetch_metrics(samples, series, request)
+
+
 def top_n(df: DataFrame, limit: int, reverse: bool = True) -> DataFrame:
     """The newest (or oldest) rows by ts, with all ties of the last. The boundary comes from a distributed top-N; no global sort."""
     if limit <= 0:

@@ -109,6 +109,11 @@ def flatten_samples(profiles: DataFrame) -> DataFrame:
     return rows.select("*", F.explode("_p").alias("_e")).select(*[c for c in profiles.columns if c not in ("timestamps", "values", "time_nanos")], F.col("_e.t").alias("ts"), F.col("_e.v").alias("value"))
 
 
+def linked_spans(samples: DataFrame, spans: DataFrame) -> DataFrame:
+    """Profile samples with the span that they were taken in. samples and spans: trace_id, span_id."""
+    return samples.where("trace_id IS NOT NULL").join(spans, ["trace_id", "span_id"])
+
+
 def symbol_tables(stacks: DataFrame) -> dict[str, DataFrame]:
     """Content-addressed tables of frames. stacks: frames array<string>, leaf first, each 'function' or 'function:line'."""
     frames = stacks.select(F.explode("frames").alias("frame")).distinct()

@@ -67,7 +67,7 @@ def size_cutoff(parts: DataFrame, budget: int) -> DataFrame:
 
 
 def compact_metrics(samples: DataFrame, path: str, cutoff: int | None = None, tiers=(), level: int = 3) -> None:
-    """Merge, drop what is too old, roll up, and write sorted by series and time."""
+    """Merge, drop what is too old, roll up, and write sorted by series and time. path: a new folder; one that is being read can't be written."""
     rows = freshest(samples if cutoff is None else retain(samples, cutoff))
     if tiers:
         rows = downsample(rows, list(tiers))
@@ -111,6 +111,22 @@ def capped(samples: DataFrame, hard: int = 0, soft: int = 0) -> DataFrame:
     return rows.withColumns({"reason": F.when(reject, "cardinality"), "overflow": (F.col("_place") > soft) & ~reject if soft else F.lit(False)}).drop("_place")
 
 
+def overflowed(rows: DataFrame, name: str = "__name__") -> DataFrame:
+    """What capped() lets in: rejected samples go, and those that overflow get the one identity of their metric's overflow series."""
+    kept = rows.where(F.col("reason").isNull())
+    folded = V.overflow_labels(F.coalesce(F.col("labels")[name], F.lit("")))
+    labels = F.when(F.col("overflow"), folded).otherwise(F.col("labels"))
+    sid = F.when(F.col("overflow"), V.series_id(folded)).otherwise(F.col("series_id"))
+    return kept.withColumns({"labels": labels, "series_id": sid}).drop("reason", "overflow")
+
+
+def admit(samples: DataFrame, allowed: int = 0, hard: int = 0, soft: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(samples to write, (accepted, rejected, reason) of the batch): what is late or beyond the cap is rejected with its reason."""
+    judged = capped(lateness(samples, allowed).withColumnRenamed("reason", "_late"), hard, soft)
+    judged = judged.withColumn("reason", F.coalesce("_late", "reason")).drop("_late")
+    return overflowed(judged), accepted(judged)
+
+
 def accepted(rows: DataFrame) -> DataFrame:
     """Partial success: (accepted, rejected, reason): the most frequent reason, with '+others' where there are more."""
     tally = rows.groupBy("reason").count()

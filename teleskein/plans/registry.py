@@ -9,6 +9,7 @@ from ..operators import aggregate as A
 from ..operators import fetch as R
 from ..operators import graphs as G
 from ..operators import lifecycle as L
+from ..operators import prom as P
 from ..sources import tables as T
 
 SECOND = 1_000_000_000
@@ -102,6 +103,38 @@ def shard_merge(spark, sf):
     return A.merge_aggregates(*[A.range_agg(s.where(V.shard_of("ingest_seq", 3) == k)) for k in range(3)])
 
 
+_NAMED = f"WITH {EVENTS} SELECT series_id, event_type, CAST(user_id AS VARCHAR) AS user_id, "
+
+
+def _with_names(aggregates, samples):
+    out = A.named(aggregates, samples)
+    return out.select("*", F.col("labels")["event_type"].alias("event_type"), F.col("labels")["user_id"].alias("user_id")).drop("labels")
+
+
+@query(_NAMED + f"{_floor('ts', DAY)} AS bucket_start, {AGG} FROM ev GROUP BY 1, 2, 3, 4")
+def step_agg_named(spark, sf):
+    s = T.event_samples(spark, sf)
+    return _with_names(A.step_agg(s, DAY), s)
+
+
+@query(_NAMED + f"t AS window_end, {AGG} FROM ev JOIN (SELECT unnest(range({T0}, {T0 + 40 * DAY} + 1, {5 * DAY})) AS t) g ON ev.ts > t - {10 * DAY} AND ev.ts <= t GROUP BY 1, 2, 3, 4")
+def window_agg_named(spark, sf):
+    s = T.event_samples(spark, sf)
+    return _with_names(A.window_agg(s, 5 * DAY, 10 * DAY, anchor=T0, end=T0 + 40 * DAY), s)
+
+
+@query(f"WITH {EVENTS} " + _WINDOWS.format(agg=AGG, first=T0, end=T0 + 70 * DAY, step=6 * HOUR, window=30 * DAY))
+def window_agg_long(spark, sf):
+    return A.window_agg(T.event_samples(spark, sf), 6 * HOUR, 30 * DAY, end=T0 + 70 * DAY, by=("tenant",))
+
+
+@query(f"WITH {EVENTS} SELECT tenant, {_floor('ts', DAY)} AS bucket_start, {AGG} FROM ev GROUP BY 1, 2")
+def shard_merge_steps(spark, sf):
+    s = T.event_samples(spark, sf)
+    by = ("tenant", "bucket_start")
+    return A.merge_aggregates(*[A.step_agg(s.where(V.shard_of("series_id", 3) == k), DAY, by=("tenant",)) for k in range(3)], by=by)
+
+
 # merges and matchers ----------------------------------------------------------------------------
 
 
@@ -136,6 +169,25 @@ def matcher_neq_absent(spark, sf):
     return _matched(spark, sf, R.neq("event_type", "click"), R.neq("no_such_label", "x"))
 
 
+@query(_M + f"event_type = 'click' AND ts BETWEEN {T0 + DAY + 5} AND {T0 + 30 * DAY}")
+def fetch_split(spark, sf):
+    s = T.event_samples(spark, sf)
+    request = R.Request(matchers=(R.eq("event_type", "click"),), start=T0 + DAY + 5, end=T0 + 30 * DAY)
+    rows = R.fetch_split(s.drop("labels"), s.select("tenant", "series_id", "labels").dropDuplicates(["series_id"]), request, 10 * DAY)
+    return rows.select("series_id", "ts", F.col("value").cast("double").alias("value"))
+
+
+@query(_M + "true")
+def all_series(spark, sf):
+    return _matched(spark, sf)
+
+
+@query(_M + "tenant IN ('click', 'view')")
+def of_two_tenants(spark, sf):
+    rows = R.fetch_metrics(T.event_samples(spark, sf), None, R.Request(tenants=("click", "view")))
+    return rows.select("series_id", "ts", F.col("value").cast("double").alias("value"))
+
+
 @query(_M + "regexp_full_match(event_type, 'c.*|view') AND NOT regexp_full_match(CAST(user_id AS VARCHAR), '1.*')")
 def matcher_regex(spark, sf):
     return _matched(spark, sf, R.regex("event_type", "c.*|view"), R.regex("user_id", "1.*", negate=True))
@@ -205,6 +257,68 @@ def split_windows(spark, sf):
     return R.split_windows(spark, T0 + 5, END + 7, DAY)
 
 
+@query(_L.replace("stream_id FROM", "stream_id, body FROM") + "lang = 'en'")
+def projected(spark, sf):
+    return R.fetch_records(T.document_logs(spark, sf), R.Request(matchers=(R.eq("lang", "en"),), projection=("body", "no_such_column"))).select("ts", "stream_id", "body")
+
+
+@query(_L + "true")
+def conditions_ignored(spark, sf):
+    return _logged(spark, sf, conditions=(R.eq("toxic", "1"),), all_conditions=False)
+
+
+@query("SELECT event_id, CASE WHEN ms > 9223372036854 THEN 9223372036854775807 WHEN ms < -9223372036854 THEN -9223372036854775807 ELSE CAST(ms AS BIGINT) * 1000000 END AS ns FROM (SELECT event_id, (event_id - 5000) * CAST(4000000000 AS HUGEINT) AS ms FROM events)")
+def clamped_times(spark, sf):
+    ms = (F.col("ingest_seq") - 5000) * F.lit(4_000_000_000)
+    return T.event_samples(spark, sf).select(F.col("ingest_seq").alias("event_id"), V.ms_to_ns(ms).alias("ns"))
+
+
+@query(f"WITH {EVENTS}, x AS (SELECT ingest_seq, CAST(value AS DOUBLE) AS v, floor(log2(abs(CAST(value AS DOUBLE)))) + 1 AS e FROM ev) SELECT ingest_seq AS event_id, CASE WHEN v = 0 THEN 0.0 ELSE round_even(v / pow(2, e) * 64, 0) / 64 * pow(2, e) END AS value FROM x")
+def kept_bits(spark, sf):
+    return T.event_samples(spark, sf).select(F.col("ingest_seq").alias("event_id"), V.keep_bits(F.col("value").cast("double"), 6).alias("value"))
+
+
+@query(
+    "WITH r AS (SELECT DISTINCT role FROM conversations), p AS (SELECT doc_id, 'lang' AS k, lang AS v FROM documents UNION ALL SELECT doc_id, 'source', source FROM documents), "
+    "t AS (SELECT k || chr(0) || v AS token, doc_id FROM p UNION SELECT k || chr(0) || unnest(regexp_extract_all(lower(v), '[a-z0-9]+')), doc_id FROM p) SELECT token, count(*) AS n FROM t GROUP BY token"
+)
+def attribute_tokens(spark, sf):
+    tokens = T.document_logs(spark, sf).select(F.explode(V.attribute_tokens("labels")).alias("token"))
+    return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+# a query engine's view --------------------------------------------------------------------------
+
+
+def _prom(spark, sf):
+    s = T.event_samples(spark, sf)
+    return s.drop("labels"), s.select("tenant", "series_id", "labels")
+
+
+_MS = f"BETWEEN {T0} AND {T0 + 25 * DAY}"
+
+
+@query(f"WITH {EVENTS}, p AS (SELECT series_id, event_type, user_id, list({{'t': ts // 1000000, 'v': CAST(value AS DOUBLE)}} ORDER BY ts) AS l FROM ev WHERE regexp_full_match(event_type, 'c.*') AND ts {_MS} GROUP BY 1, 2, 3) SELECT series_id, event_type, CAST(len(l) AS INTEGER) AS n, l[1].t AS first_ms, l[len(l)].v AS last_value FROM p")
+def prom_select(spark, sf):
+    out = P.select(*_prom(spark, sf), [R.regex("event_type", "c.*")], T0 // 1_000_000, (T0 + 25 * DAY) // 1_000_000)
+    return out.select("series_id", F.col("labels")["event_type"].alias("event_type"), F.size("points").alias("n"), F.col("points")[0]["t"].alias("first_ms"), F.element_at("points", -1)["v"].alias("last_value"))
+
+
+@query(f"WITH {EVENTS} SELECT count(DISTINCT series_id) AS n_series FROM ev WHERE event_type <> 'click' AND ts {_MS}")
+def prom_count(spark, sf):
+    return P.count(*_prom(spark, sf), [R.neq("event_type", "click")], T0 // 1_000_000, (T0 + 25 * DAY) // 1_000_000)
+
+
+@query(f"WITH {EVENTS} SELECT event_type AS label_value, count(DISTINCT series_id) AS n_series FROM ev WHERE regexp_full_match(CAST(user_id AS VARCHAR), '.*[02468]') GROUP BY 1")
+def prom_count_by(spark, sf):
+    return P.count_by(*_prom(spark, sf), "event_type", [R.regex("user_id", ".*[02468]")])
+
+
+@query("SELECT 'event_type' AS name, 'click' AS value, count(DISTINCT user_id) AS n_series FROM events WHERE event_type = 'click' UNION ALL SELECT '__name__', 'event.value', count(DISTINCT user_id) FROM events WHERE event_type = 'click' UNION ALL SELECT DISTINCT 'user_id', CAST(user_id AS VARCHAR), 1 FROM events WHERE event_type = 'click'")
+def prom_series_labels(spark, sf):
+    return P.series_labels(_prom(spark, sf)[1], [R.eq("event_type", "click")])
+
+
 # counts and catalogue ---------------------------------------------------------------------------
 
 
@@ -233,7 +347,7 @@ def label_values(spark, sf):
     return A.label_values(R.match_labels(T.event_samples(spark, sf), [R.eq("event_type", "click")]), "user_id")
 
 
-@query("SELECT unnest(['__name__', 'event_type', 'user_id']) AS name")
+@query(f"WITH {EVENTS} SELECT DISTINCT '__name__' AS name FROM ev UNION SELECT 'event_type' FROM ev WHERE event_type IS NOT NULL UNION SELECT 'user_id' FROM ev WHERE user_id IS NOT NULL")
 def label_names(spark, sf):
     return A.label_names(T.event_samples(spark, sf))
 
@@ -248,7 +362,17 @@ def series_in_window_open(spark, sf):
     return A.series_in_window(T.document_logs(spark, sf), None, None)
 
 
-@query(f"WITH {LOGS} SELECT * FROM (VALUES ('lang', 1), ('n_chars', 4), ('quality', 4), ('source', 1), ('toxic', 4)) v(key, scopes)")
+@query(
+    f"WITH {LOGS}, k AS (SELECT 'lang' AS key, 1 AS bit FROM lg UNION ALL SELECT 'source', 1 FROM lg UNION ALL SELECT 'lib.' || lang, 2 FROM lg UNION ALL SELECT 'source', 2 FROM lg WHERE n_chars > 500 "
+    "UNION ALL SELECT 'n_chars', 4 FROM lg WHERE n_chars IS NOT NULL UNION ALL SELECT 'quality', 4 FROM lg WHERE quality IS NOT NULL UNION ALL SELECT 'toxic', 4 FROM lg WHERE toxic IS NOT NULL) SELECT key, CAST(bit_or(bit) AS BIGINT) AS scopes FROM k GROUP BY key"
+)
+def attr_keys_all_scopes(spark, sf):
+    rows = T.document_logs(spark, sf)
+    scope = F.map_filter(F.create_map(F.concat(F.lit("lib."), F.col("labels")["lang"]), F.lit("1"), F.lit("source"), F.when(F.col("severity") > 500, "1")), lambda k, v: v.isNotNull())
+    return A.keys(rows, resource=F.col("labels"), scope=scope, record=F.col("attrs"))
+
+
+@query(f"WITH {LOGS} SELECT 'lang' AS key, CAST(1 AS BIGINT) AS scopes FROM lg UNION SELECT 'source', 1 FROM lg UNION SELECT 'n_chars', 4 FROM lg WHERE n_chars IS NOT NULL UNION SELECT 'quality', 4 FROM lg WHERE quality IS NOT NULL UNION SELECT 'toxic', 4 FROM lg WHERE toxic IS NOT NULL")
 def attr_keys_scope(spark, sf):
     return A.keys(T.document_logs(spark, sf), resource=F.col("labels"), record=F.col("attrs"))
 
@@ -291,6 +415,25 @@ def rollup_two_tier(spark, sf):
     return L.downsample(s, [(T0 + 10 * DAY, DAY, "last"), (END, HOUR, "max")]).select("series_id", "ts", "value")
 
 
+@query(
+    f"WITH {EVENTS}, c AS (SELECT series_id, {_floor('ts', DAY)} AS ts, CASE WHEN min(ts) < {T0 + 10 * DAY + 6 * HOUR} THEN arg_max(CAST(value AS DOUBLE), ts) ELSE CAST(max(value) AS DOUBLE) END AS value FROM ev WHERE ts < {END} GROUP BY 1, 2) "
+    f"SELECT * FROM c UNION ALL SELECT series_id, ts, CAST(arg_max(value, ts) AS DOUBLE) FROM ev WHERE ts >= {END} GROUP BY 1, 2"
+)
+def rollup_tiers_of_one_interval(spark, sf):
+    s = T.event_samples(spark, sf).withColumn("value", F.col("value").cast("double"))
+    return L.downsample(s, [(END, DAY, "max"), (T0 + 10 * DAY + 6 * HOUR, DAY, "last"), (END + DAY, 0, "sum")]).select("series_id", "ts", "value")
+
+
+@query(
+    f"WITH {EVENTS}, f AS (SELECT tenant, series_id, min(ingest_seq) AS first FROM ev GROUP BY 1, 2), p AS (SELECT tenant, series_id, row_number() OVER (PARTITION BY tenant ORDER BY first) AS place FROM f) "
+    "SELECT tenant, count(DISTINCT CASE WHEN place > 20 THEN 'overflow' ELSE ev.series_id END) AS n_series, count(*) FILTER (place > 20) AS folded FROM ev JOIN p USING (tenant, series_id) WHERE place <= 60 GROUP BY tenant"
+)
+def overflow_identity(spark, sf):
+    rows = L.overflowed(L.capped(T.event_samples(spark, sf), hard=60, soft=20))
+    folded = F.coalesce(F.col("labels")["__overflow__"] == "true", F.lit(False))
+    return rows.groupBy("tenant").agg(F.countDistinct("series_id").alias("n_series"), F.count_if(folded).alias("folded"))
+
+
 @query(f"WITH {EVENTS} SELECT series_id, ts FROM ev WHERE ts >= {END}")
 def retention_age(spark, sf):
     return L.retain(T.event_samples(spark, sf), END).select("series_id", "ts")
@@ -325,7 +468,10 @@ def cardinality_caps(spark, sf):
     return rows.groupBy("tenant").agg(F.count_if(~over & ~bad).alias("own"), F.count_if(over).alias("overflow"), F.count_if(bad).alias("rejected"))
 
 
-@query()
+@query(
+    f"WITH {EVENTS}, s AS (SELECT tenant, {_floor('ts', HOUR)} AS sec, count(*) AS n FROM ev GROUP BY 1, 2), r AS (SELECT ev.*, coalesce(greatest(ceil(s.n / 20), 1), 1) AS sf FROM ev LEFT JOIN s ON s.tenant = ev.tenant AND s.sec + {HOUR} = {_floor('ev.ts', HOUR)}) "
+    "SELECT tenant, count(*) AS kept, sum(sf) AS weight FROM r WHERE CAST('0x' || substr(md5(series_id || ':' || CAST(ts AS VARCHAR)), 1, 15) AS BIGINT) % CAST(sf AS BIGINT) = 0 GROUP BY tenant"
+)
 def sampled(spark, sf):
     rows = L.sampled(T.event_samples(spark, sf), 20, second=HOUR)
     return rows.groupBy("tenant").agg(F.count(F.lit(1)).alias("kept"), F.sum("sf").alias("weight"))

@@ -30,7 +30,9 @@ _METRIC = (
 )
 _SCOPE = f"struct<name:string,version:string,attributes:{_ATTRS}>"
 _LOG = f"struct<timeUnixNano:string,observedTimeUnixNano:string,severityNumber:int,severityText:string,body:{_ANY},attributes:{_ATTRS},traceId:string,spanId:string,flags:bigint,droppedAttributesCount:bigint>"
-_SPAN = f"struct<traceId:string,spanId:string,parentSpanId:string,name:string,kind:int,startTimeUnixNano:string,endTimeUnixNano:string,attributes:{_ATTRS},status:struct<code:int,message:string>>"
+_EVENT = f"struct<timeUnixNano:string,name:string,attributes:{_ATTRS},droppedAttributesCount:bigint>"
+_LINK = f"struct<traceId:string,spanId:string,traceState:string,attributes:{_ATTRS},droppedAttributesCount:bigint>"
+_SPAN = f"struct<events:array<{_EVENT}>,links:array<{_LINK}>,traceId:string,spanId:string,parentSpanId:string,name:string,kind:int,startTimeUnixNano:string,endTimeUnixNano:string,attributes:{_ATTRS},status:struct<code:int,message:string>>"
 
 
 def _schema(outer: str, inner: str, items: str, kind: str) -> str:
@@ -83,19 +85,26 @@ def plain_text(value, inside: bool = False) -> str:
 _KINDS = ("stringValue", "boolValue", "intValue", "doubleValue", "bytesValue", "arrayValue", "kvlistValue")
 
 
+def _texts_of(values) -> list[str | None]:
+    return [plain_text(v) if v and any(x is not None for x in v.values()) else None for v in values]
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def _rich_texts(lists: pd.Series) -> pd.Series:
-    return lists.map(lambda values: None if values is None else [plain_text(v) if v and any(x is not None for x in v.values()) else None for v in values])
+    return lists.map(lambda values: None if values is None else _texts_of(values))
 
 
 def _is_rich(v: Column) -> Column:
     return v["doubleValue"].isNotNull() | v["bytesValue"].isNotNull() | v["arrayValue"].isNotNull() | v["kvlistValue"].isNotNull()
 
 
+def _simple_text(v: Column) -> Column:
+    return F.coalesce(v["stringValue"], v["boolValue"].cast("string"), v["intValue"])
+
+
 def texts(values: Column) -> Column:
     """Canonical texts of an array of values, null for empty ones. Only arrays that hold doubles, bytes, lists or maps go to Python, in Arrow batches."""
-    simple = F.transform(values, lambda v: F.coalesce(v["stringValue"], v["boolValue"].cast("string"), v["intValue"]))
-    return F.coalesce(_rich_texts(F.when(F.exists(values, _is_rich), values)), simple)
+    return F.coalesce(_rich_texts(F.when(F.exists(values, _is_rich), values)), F.transform(values, _simple_text))
 
 
 def any_text(v: Column) -> Column:
@@ -116,6 +125,30 @@ def attributes(list_: Column) -> Column:
     return F.map_from_arrays(F.transform(first, lambda a: a["key"]), texts(F.transform(first, lambda a: a["value"])))
 
 
+@F.pandas_udf(StringType())
+def _rich_nested(rows: pd.Series) -> pd.Series:
+    """Lists of lists go through JSON, as Arrow's way to pandas and back has no nested ones."""
+    return rows.map(lambda text: None if text is None else json.dumps([_texts_of(values) for values in json.loads(text)["v"]]))
+
+
+def nested_values(items: Column) -> Column:
+    """Values of the attributes of an array of structs, a list for each."""
+    return F.transform(items, lambda e: F.transform(_firsts(e["attributes"]), lambda a: a["value"]))
+
+
+def nested_texts(values: str) -> Column:
+    """Canonical texts of nested_values. values: the name of a column, as Spark fails to take a Python function of nested lambdas out of an expression."""
+    lists = F.col(values)
+    rich = F.exists(lists, lambda list_: F.exists(list_, _is_rich))
+    found = F.from_json(_rich_nested(F.when(rich, F.to_json(F.struct(lists.alias("v"))))), "array<array<string>>")
+    return F.coalesce(found, F.transform(lists, lambda list_: F.transform(list_, _simple_text)))
+
+
+def _with_attributes(items: Column, texts_: str, struct) -> Column:
+    """struct(item, map of its attributes) of each."""
+    return F.zip_with(items, F.col(texts_), lambda e, t: struct(e, F.map_from_arrays(F.transform(_firsts(e["attributes"]), lambda a: a["key"]), t)))
+
+
 def typed(list_: Column) -> Column:
     """Attributes as one text that tells types apart, in the order of keys: the number 1 is not the text '1'."""
     first = _firsts(list_)
@@ -124,14 +157,14 @@ def typed(list_: Column) -> Column:
     return F.to_json(F.array_sort(rows))
 
 
-def _leaves(df: DataFrame, outer: str, inner: str, items: str) -> DataFrame:
-    """Resource and scope with their identity by level, and each leaf."""
-    r = df.select(F.explode(outer).alias("r"))
-    r = r.select(attributes(F.col("r.resource.attributes")).alias("resource"), typed(F.col("r.resource.attributes")).alias("resource_id"), F.col("r.schemaUrl").alias("resource_schema"), F.explode(f"r.{inner}").alias("s"))
-    s = r.select("resource", "resource_id", "resource_schema", F.col("s.scope").alias("_scope"), F.col("s.schemaUrl").alias("scope_schema"), F.col(f"s.{items}").alias("_items"))
+def _leaves(df: DataFrame, outer: str, inner: str, items: str, keep=()) -> DataFrame:
+    """Resource and scope with their identity by level, and each leaf. keep: columns of the document that go along."""
+    r = df.select(*keep, F.explode(outer).alias("r"))
+    r = r.select(*keep, attributes(F.col("r.resource.attributes")).alias("resource"), typed(F.col("r.resource.attributes")).alias("resource_id"), F.col("r.schemaUrl").alias("resource_schema"), F.explode(f"r.{inner}").alias("s"))
+    s = r.select(*keep, "resource", "resource_id", "resource_schema", F.col("s.scope").alias("_scope"), F.col("s.schemaUrl").alias("scope_schema"), F.col(f"s.{items}").alias("_items"))
     s = s.withColumns({"_attrs": attributes(F.col("_scope.attributes")), "_typed": typed(F.col("_scope.attributes"))})
     scope = F.struct(F.col("_scope.name").alias("name"), F.col("_scope.version").alias("version"), F.col("scope_schema").alias("schema"), F.col("_attrs").alias("attributes"), F.col("_typed").alias("typed"))
-    return s.select("resource", "resource_id", "resource_schema", scope.alias("scope"), F.explode("_items").alias("x"))
+    return s.select(*keep, "resource", "resource_id", "resource_schema", scope.alias("scope"), F.explode("_items").alias("x"))
 
 
 def _identity(*more) -> Column:
@@ -238,9 +271,24 @@ def log_records(df: DataFrame) -> DataFrame:
 def span_records(df: DataFrame) -> DataFrame:
     """Spans without nested sets; nested_sets() adds them."""
     x = _leaves(df, "resourceSpans", "scopeSpans", "spans")
+    x = x.withColumns({"_events": F.coalesce(F.col("x.events"), F.array().cast(f"array<{_EVENT}>")), "_links": F.coalesce(F.col("x.links"), F.array().cast(f"array<{_LINK}>"))})
+    x = x.withColumns({f"_{k}_values": nested_values(F.col(f"_{k}")) for k in ("events", "links")})
+    x = x.withColumns({f"_{k}_texts": nested_texts(f"_{k}_values") for k in ("events", "links")})
     start, end = F.col("x.startTimeUnixNano").cast("bigint"), F.col("x.endTimeUnixNano").cast("bigint")
     return x.select(
         F.lit("default").alias("tenant"), _identity().alias("stream_id"), _labels().alias("labels"), start.alias("ts"), (end - start).alias("duration"), F.col("x.kind").alias("kind"),
         F.col("x.status.code").alias("status_code"), F.col("x.status.message").alias("status_message"), F.lower("x.traceId").alias("trace_id"), F.lower("x.spanId").alias("span_id"), F.lower("x.parentSpanId").alias("parent_span_id"),
-        F.col("x.name").alias("name"), attributes(F.col("x.attributes")).alias("attrs"),
+        F.col("x.name").alias("name"), attributes(F.col("x.attributes")).alias("attrs"), _events().alias("events"), _links().alias("links"),
     )
+
+
+def _dropped(e: Column) -> Column:
+    return F.coalesce(e["droppedAttributesCount"], F.lit(0).cast("bigint")).alias("dropped")
+
+
+def _events() -> Column:
+    return _with_attributes(F.col("_events"), "_events_texts", lambda e, m: F.struct(e["timeUnixNano"].cast("bigint").alias("ts"), e["name"].alias("name"), m.alias("attrs"), _dropped(e)))
+
+
+def _links() -> Column:
+    return _with_attributes(F.col("_links"), "_links_texts", lambda e, m: F.struct(F.lower(e["traceId"]).alias("trace_id"), F.lower(e["spanId"]).alias("span_id"), e["traceState"].alias("trace_state"), m.alias("attrs"), _dropped(e)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..operators import lifecycle
+from ..operators import graphs, lifecycle
 
 
 class Store:
@@ -31,6 +31,24 @@ class Store:
             fresh = fresh.join(self.read("series").select("tenant", "series_id"), ["tenant", "series_id"], "left_anti")
         fresh.write.mode("append").partitionBy("tenant").parquet(self.path("series"))
 
+    def write_spans(self, spans: DataFrame) -> None:
+        """Spans with the nested sets of their traces, as far as the batch holds these."""
+        self.write("spans", graphs.nested_sets(spans))
+
+    def write_profiles(self, samples: DataFrame) -> None:
+        """Samples with the ids of their stacks; symbols that aren't stored yet go to the tables symbols_*."""
+        from . import otlp_profiles
+
+        tables = otlp_profiles.symbols(samples)
+        known = {name: self.read(f"symbols_{name}") for name in tables if self.exists(f"symbols_{name}")}
+        for name, t in otlp_profiles.delta(tables, known).items():
+            t.write.mode("append").parquet(self.path(f"symbols_{name}"))
+        self.write("profile_samples", otlp_profiles.with_stacks(samples))
+
+    def symbols(self) -> dict[str, DataFrame]:
+        """Stored symbols; two writers may have stored one twice."""
+        return {name: self.read(f"symbols_{name}").dropDuplicates(["id"]) for name in ("strings", "functions", "mappings", "locations", "stacks")}
+
     def exists(self, table: str) -> bool:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path(table))
