@@ -1,18 +1,21 @@
 """Document fingerprints: SimHash with permuted block tables.
 
 Every word votes on 64 signed bits with its hash; its weight is its inverse corpus frequency, beyond
-a floor below which a word is too common to tell documents apart. Frequencies are counted over all
+a floor (parameter ``floor_bits``, 0 for none) below which a word is too common to tell documents apart. Frequencies are counted over all
 documents, in a hashed table of fixed size. For all pairs within Hamming radius r the 64 bits are cut
 into r + 3 blocks: some three of them agree in any such pair, so one table for each choice of three
 blocks meets every pair in an equi-join. Fingerprints are sent once for each block that can come first
 among the three, by its value; the tables that begin with it are sorted and run through where they
 arrive. Each pair is reported by the first table that holds it, after its distance is confirmed.
+What comes out of a table is, of each fingerprint, its number of links and one that it hangs together
+with, so output doesn't grow with the pairs; ``near_documents`` gives pairs.
 Nothing is approximate below the fingerprint. Texts of cosine c are about 64 arccos(c) / pi bits apart,
 so near copies that share most of their words, but not all, lie within 10 bits and rarely within 3.
 
-Defined results: null, empty and word-free texts have no fingerprint and no partner; where all words
-are below the floor, all weigh the same; ids that are null have no partner; rows that repeat an id
-count once for each fingerprint; equal fingerprints are partners at distance 0; an empty table gives
+Defined results: null, empty and word-free texts have no fingerprint and no partner, but a row; where
+all words are below the floor, all weigh the same; ids that are null have no partner, but a row; rows
+that repeat an id are documents of their own in ``near_groups``, and count once for each fingerprint in
+``near_documents``; equal fingerprints are partners at distance 0; an empty table gives
 an empty result; other columns play no part.
 """
 
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import _spark, _text
+from . import _groups, _spark, _text
 
 #: Between documents: of near copies by word 3-grams the most lie within it, of other pairs few.
 RADIUS = 10
@@ -54,7 +57,7 @@ def word_counts(docs: DataFrame, text_col: str) -> np.ndarray:
                 total += np.frombuffer(blob.as_buffer(), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["at", "part"])
 
-    parts = docs.select(F.col(text_col).alias("_text")).mapInArrow(count, "at int, part binary")
+    parts = docs.select(_spark.column(text_col).alias("_text")).mapInArrow(_spark.frugal(count), "at int, part binary")
     added = parts.groupBy("at").applyInArrow(lambda key, table: pa.Table.from_batches(list(add(key, table.to_batches()))), "at int, part binary")
     out = np.zeros(1 << TABLE_BITS, np.int64)
     for row in added.toLocalIterator():
@@ -94,9 +97,9 @@ def fingerprint(buf: np.ndarray, offs: np.ndarray, weights: np.ndarray) -> tuple
     return out, have
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", floor_bits: float = FLOOR_BITS) -> DataFrame:
     """(id, fingerprint), null where a text has no words."""
-    sent = docs.sparkSession.sparkContext.broadcast(word_weights(word_counts(docs, text_col)))
+    sent = docs.sparkSession.sparkContext.broadcast(word_weights(word_counts(docs, text_col), floor_bits))
 
     def run(batches):
         for batch in _text.slices(batches, "_text"):
@@ -104,7 +107,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(prints.view(np.int64), mask=~have)], [id_col, "fingerprint"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, fingerprint bigint")
+    return docs.select(_spark.column(id_col).alias("_id"), _spark.column(text_col).alias("_text")).mapInArrow(_spark.frugal(run), f"{_spark.quoted(id_col)} {kind}, fingerprint bigint")
 
 
 def masks(radius: int) -> tuple[list[int], list[tuple[int, ...]], list[int]]:
@@ -136,10 +139,10 @@ def _in_runs(key: np.ndarray):
         at = to
 
 
-def _meet(prints: np.ndarray, first: int, radius: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(a, b, distance) of the pairs whose first three agreeing blocks begin with block ``first``."""
+def _meet(prints: np.ndarray, first: int, radius: int):
+    """Places (x, y) in prints, and distance, of the pairs whose first three agreeing blocks begin with block ``first``, some at a time."""
     block, tables, mask = masks(radius)
-    block, found = [np.uint64(m) for m in block], []
+    block = [np.uint64(m) for m in block]
     for table, m in zip(tables, mask):
         if table[0] != first:
             continue
@@ -149,36 +152,73 @@ def _meet(prints: np.ndarray, first: int, radius: int) -> list[tuple[np.ndarray,
         for x, y in _in_runs(key):
             a, b = sorted_prints[x], sorted_prints[y]
             near = np.flatnonzero(np.bitwise_count(a ^ b) <= radius)
-            a, b = a[near], b[near]
+            a, b, x, y = a[near], b[near], x[near], y[near]
             for k in range(table[2]):
                 if k not in table:
                     own = (a ^ b) & block[k] != 0
-                    a, b = a[own], b[own]
+                    a, b, x, y = a[own], b[own], x[own], y[own]
             if len(a):
-                lo, hi = np.minimum(a.view(np.int64), b.view(np.int64)), np.maximum(a.view(np.int64), b.view(np.int64))
-                found.append((lo, hi, np.bitwise_count(a ^ b).astype(np.int32)))
-    return found
+                yield order[x], order[y], np.bitwise_count(a ^ b).astype(np.int32)
 
 
-def near_fingerprints(prints: DataFrame, radius: int = 3) -> DataFrame:
-    """(a, b, distance), a < b: all pairs of distinct values of column fingerprint within the radius."""
+def _tables(prints: DataFrame, radius: int, run, schema: str) -> DataFrame:
+    """run(fingerprints, copies, first block) of what meets in a part. prints: distinct fingerprints, with the documents of each."""
     block = masks(radius)[0]
     firsts = F.array(*[F.struct(F.lit(i).alias("first"), F.col("fingerprint").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(block[:-2])])
-    spread = prints.where("fingerprint IS NOT NULL").select("fingerprint", F.explode(firsts).alias("e"))
-    part = F.pmod(F.xxhash64("e.first", "e.k"), F.lit(64 * _spark.partitions(prints.sparkSession)))
+    spread = prints.where("fingerprint IS NOT NULL").select("fingerprint", "copies", F.explode(firsts).alias("e"))
+    part = F.pmod(F.xxhash64("e.first", "e.k"), F.lit(64 * _spark.parts_for(prints)))
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def meet(table: pa.Table) -> pa.Table:
-        first, held = table["first"].to_numpy(), table["fingerprint"].to_numpy()
-        found = [p for i in np.unique(first) for p in _meet(np.unique(held[first == i]).view(np.uint64), int(i), radius)]
-        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
-        return pa.table([pa.array(c) for c in columns], ["a", "b", "distance"])
+        first, held, copies = (table[c].to_numpy() for c in ("first", "fingerprint", "copies"))
+        found = []
+        for i in np.unique(first):
+            own, at = np.unique(held[first == i], return_index=True)
+            found += run(own, copies[first == i][at], int(i))
+        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 3
+        return pa.table([pa.array(c) for c in columns], names).cast(pa.schema(list(zip(names, (pa.int64(), pa.int64(), pa.int32() if names[2] == "distance" else pa.int64())))))
+
+    return spread.select("fingerprint", "copies", "e.first", part.alias("part")).groupBy("part").applyInArrow(_spark.frugal(meet), schema)
+
+
+def near_fingerprints(prints: DataFrame, radius: int = 3) -> DataFrame:
+    """(a, b, distance), a < b: all pairs of distinct values of column fingerprint within the radius."""
+
+    def pairs(own, copies, first):
+        return [(own[np.minimum(x, y)], own[np.maximum(x, y)], d) for x, y, d in _meet(own.view(np.uint64), first, radius)]
+
+    return _tables(prints.select("fingerprint", F.lit(1).cast("bigint").alias("copies")), radius, pairs, "a bigint, b bigint, distance int")
+
+
+def linked_fingerprints(prints: DataFrame, radius: int) -> DataFrame:
+    """(a, b, links): of each fingerprint with partners here, one that it hangs together with, and how many documents its partners have. prints: (fingerprint, copies), distinct."""
+
+    def links(own, copies, first):
+        total, low = np.zeros(len(own), np.int64), np.arange(len(own))
+        for x, y, _ in _meet(own.view(np.uint64), first, radius):
+            total += np.bincount(x, copies[y], len(own)).astype(np.int64) + np.bincount(y, copies[x], len(own)).astype(np.int64)
+            low = _groups.least_of(np.concatenate([np.arange(len(own)), x]), np.concatenate([low, y]), len(own))
+        who = np.flatnonzero(total)
+        return [(own[who], own[low[who]], total[who])]
+
+    return _tables(prints, radius, links, "a bigint, b bigint, links bigint")
+
 
-    return spread.select("fingerprint", "e.first", part.alias("part")).groupBy("part").applyInArrow(meet, "a bigint, b bigint, distance int")
+def near_groups(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", floor_bits: float = FLOOR_BITS) -> DataFrame:
+    """A row for each input row: its id, fingerprint, keep_id (the least id of all documents that it hangs together with by pairs within the radius), n_links (its own number of such pairs)."""
+    known = _spark.pin(fingerprints(docs, id_col, text_col, floor_bits).select(_spark.column(id_col).alias("id"), F.col("fingerprint").alias("sid")))
+    has = F.col("id").isNotNull() & F.col("sid").isNotNull()
+    firsts = _spark.table(known.where(has).groupBy("sid").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id")).alias("row")))
+    found = _spark.table(linked_fingerprints(firsts.select(F.col("sid").alias("fingerprint"), "copies"), radius))
+    sets = _groups.grouped(firsts, found).select("sid", F.col("row.id").alias("keep_id"), F.col("links").alias("n_links"))
+    near = known.where(has).join(sets, "sid").select(F.col("id").alias(id_col), F.col("sid").alias("fingerprint"), "keep_id", "n_links")
+    return near.unionByName(known.where(~has).select(F.col("id").alias(id_col), F.col("sid").alias("fingerprint"), F.col("id").alias("keep_id"), F.lit(0).cast("bigint").alias("n_links")))
 
 
-def near_documents(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_a, doc_b, distance), doc_a < doc_b: all pairs of documents whose fingerprints are within the radius."""
-    known = _spark.pin(fingerprints(docs, id_col, text_col).where(f"fingerprint IS NOT NULL AND `{id_col}` IS NOT NULL").select(F.col(id_col).alias("_id"), "fingerprint").distinct())
+def near_documents(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", floor_bits: float = FLOOR_BITS) -> DataFrame:
+    """(doc_a, doc_b, distance), doc_a < doc_b: all pairs of documents whose fingerprints are within the radius. Its rows grow as the square of a group of near copies; ``near_groups`` gives one for each document."""
+    id_ = _spark.column(id_col)
+    known = _spark.pin(fingerprints(docs, id_col, text_col, floor_bits).where(F.col("fingerprint").isNotNull() & id_.isNotNull()).select(id_.alias("_id"), "fingerprint").distinct())
     pairs = near_fingerprints(known.select("fingerprint").distinct(), radius)
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
     copies = known.groupBy("fingerprint").count().where("count > 1").select(F.col("fingerprint").alias("a"), F.col("fingerprint").alias("b"), F.lit(0).alias("distance"))
@@ -187,4 +227,4 @@ def near_documents(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id"
 
 
 def op10_fingerprints(spark, sf_dir: str) -> DataFrame:
-    return near_documents(_spark.read(spark, sf_dir, "documents"))
+    return near_groups(_spark.read(spark, sf_dir, "documents"))

@@ -217,7 +217,10 @@ def test_simhash_pairs_equal_brute_force(spark):
 
 
 def test_simhash_edges(edge, nothing):
-    assert {(r["doc_a"], r["doc_b"], r["distance"]) for r in simhash.near_documents(edge).collect()} >= {(3, 6, 0)}
+    pairs = {(r["doc_a"], r["doc_b"]): r["distance"] for r in simhash.near_documents(edge, radius=3).collect()}
+    assert pairs == {(3, 6): 0}
+    groups = [(r["doc_id"], r["keep_id"], r["n_links"]) for r in simhash.near_groups(edge, radius=3).collect()]
+    assert sorted(groups, key=str) == sorted([(None, None, 0), (None, None, 0), (1, 1, 0), (2, 2, 0), (3, 3, 2), (3, 3, 2), (6, 3, 2), (4, 4, 0), (5, 5, 0), (7, 7, 0)], key=str)
     assert simhash.near_documents(nothing).count() == 0
 
 
