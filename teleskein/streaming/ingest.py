@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,15 +23,13 @@ def admit_stream(samples: DataFrame, allowed: int) -> DataFrame:
     rows = samples.select("series_id", "ts", F.col("value").cast("double").alias("value"), "ingest_seq")
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        newest = state.get[0] if state.exists else None
         pdf = pd.concat(list(batches)).sort_values("ingest_seq", kind="stable")
-        reasons = []
-        for ts in pdf["ts"].tolist():
-            late = allowed > 0 and newest is not None and ts < newest - allowed
-            reasons.append("late" if late else None)
-            if not late:
-                newest = ts if newest is None else max(newest, ts)
-        state.update((newest,))
+        ts = pdf["ts"].to_numpy(np.int64)
+        start = state.get[0] if state.exists else ts[0]
+        newest = np.maximum.accumulate(np.concatenate([[start], ts]))  # before each sample; a late one never moves it
+        late = ts < newest[:-1] - allowed if allowed > 0 else np.zeros(len(ts), bool)
+        state.update((int(newest[-1]),))
+        reasons = np.where(late, "late", None)
         yield pdf.assign(reason=pd.Series(reasons, index=pdf.index, dtype=object))
 
     return rows.groupBy("series_id").applyInPandasWithState(step, "series_id string, ts bigint, value double, ingest_seq bigint, reason string", "newest bigint", "append", GroupStateTimeout.NoTimeout)
@@ -46,6 +45,13 @@ def append_once(stream: DataFrame, path: str, checkpoint: str, interval: str | N
     return (out.trigger(processingTime=interval) if interval else out.trigger(availableNow=True)).start()
 
 
+def admit_records(records: DataFrame, allowed: int) -> DataFrame:
+    """As admit_stream, for records of streams: (stream_id, ts, ingest_seq, reason)."""
+    rows = records.select(F.col("stream_id").alias("series_id"), "ts", F.lit(0.0).alias("value"), "ingest_seq")
+    judged = admit_stream(rows, allowed)
+    return judged.select(F.col("series_id").alias("stream_id"), "ts", "ingest_seq", "reason")
+
+
 def windowed(stream: DataFrame, step: str, window: str, delay: str) -> DataFrame:
     """Sliding aggregates of a stream with a column at (timestamp), final once the watermark has passed."""
     cells = stream.withWatermark("at", delay).groupBy("series_id", F.window("at", window, step))
