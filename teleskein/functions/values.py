@@ -233,6 +233,6 @@ def _rounded(values: pd.Series, bits: pd.Series) -> pd.Series:
     return pd.Series(np.ldexp(np.round(m * scale) / scale, e))
 
 
-def keep_bits(value, bits: int) -> Column:
+def keep_bits(value, bits: int | Column) -> Column:
     """Value with so many significant bits of mantissa."""
-    return _rounded(_col(value), F.lit(bits))
+    return _rounded(_col(value), bits if isinstance(bits, Column) else F.lit(bits))

@@ -148,6 +148,11 @@ def keys(records: DataFrame, **maps: Column) -> DataFrame:
     return found.groupBy(F.col("k.key").alias("key")).agg(F.bit_or("k.scope").cast("bigint").alias("scopes")).orderBy("key")
 
 
+def union_keys(*shards: DataFrame) -> DataFrame:
+    """Keys of several inputs, each made by keys(): the places where one occurs are OR-ed."""
+    return reduce(DataFrame.unionByName, shards).groupBy("key").agg(F.bit_or("scopes").alias("scopes")).orderBy("key")
+
+
 def cardinality(series: DataFrame, top: int = 0, labels: str = "labels") -> DataFrame:
     """(name, n_series, n_values) by falling n_series, then name; top <= 0: all."""
     found = series.select("series_id", F.explode(labels).alias("name", "value"))

@@ -54,6 +54,26 @@ def downsample(samples: DataFrame, tiers: list[tuple[int, int, str]]) -> DataFra
     return best.select("series_id", "ts", "b.value", "b.sf")
 
 
+def precision(samples: DataFrame, tiers: list[tuple[int, int]]) -> DataFrame:
+    """Values with fewer significant bits the older they are. tiers: (before, bits); a sample older than several goes by the one with the least ``before``, newer ones stay."""
+    bits = F.lit(None).cast("int")
+    for before, n in sorted(tiers, reverse=True):
+        bits = F.when(F.col("ts") < before, F.lit(n)).otherwise(bits)
+    value = F.col("value").cast("double")
+    return samples.withColumn("_bits", bits).withColumn("value", F.when(F.col("_bits").isNull(), value).otherwise(V.keep_bits(value, F.coalesce("_bits", F.lit(52))))).drop("_bits")
+
+
+def compaction_groups(parts: DataFrame, fan: int = 4, most: int = 1 << 30) -> DataFrame:
+    """Adds group: files of like size (by powers of fan) that are next to each other in time and begin within ``most`` bytes of each other; those that stay alone have null. parts: tenant, part, min_ts, bytes: a row for each file."""
+    tier = F.floor(F.log(F.greatest(F.col("bytes"), F.lit(1)).cast("double")) / F.log(F.lit(float(fan)))).cast("int")
+    order = Window.partitionBy("tenant", "_tier").orderBy("min_ts", "part")
+    rows = parts.withColumn("_tier", tier).withColumn("_run", F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_cell", F.floor((F.col("_run") - F.col("bytes")) / F.lit(most)))
+    rows = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("tenant", "_tier", "_cell")))
+    name = F.concat_ws("/", "tenant", F.col("_tier").cast("string"), F.col("_cell").cast("string"))
+    return rows.withColumn("group", F.when(F.col("_n") > 1, name)).drop("_tier", "_run", "_cell", "_n")
+
+
 def retain(df: DataFrame, cutoff: int) -> DataFrame:
     """Rows that are not older."""
     return df.where(F.col("ts") >= cutoff)

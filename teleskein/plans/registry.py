@@ -278,6 +278,25 @@ def kept_bits(spark, sf):
     return T.event_samples(spark, sf).select(F.col("ingest_seq").alias("event_id"), V.keep_bits(F.col("value").cast("double"), 6).alias("value"))
 
 
+@query(
+    f"WITH {EVENTS}, x AS (SELECT ingest_seq, ts, CAST(value AS DOUBLE) AS v, floor(log2(abs(CAST(value AS DOUBLE)))) + 1 AS e, CASE WHEN ts < {T0 + 5 * DAY} THEN 16 ELSE 256 END AS s FROM ev) "
+    f"SELECT ingest_seq AS event_id, CASE WHEN v = 0 OR ts >= {END} THEN v ELSE round_even(v / pow(2, e) * s, 0) / s * pow(2, e) END AS value FROM x"
+)
+def precision_tiers(spark, sf):
+    return L.precision(T.event_samples(spark, sf), [(END, 8), (T0 + 5 * DAY, 4)]).select(F.col("ingest_seq").alias("event_id"), "value")
+
+
+@query(
+    f"WITH {EVENTS}, p AS (SELECT tenant, {_floor('ts', DAY)} AS min_ts, CAST({_floor('ts', DAY)} AS VARCHAR) AS part, count(*) AS bytes FROM ev GROUP BY 1, 2), t AS (SELECT *, CAST(floor(ln(CAST(bytes AS DOUBLE)) / ln(4)) AS INTEGER) AS tier FROM p), "
+    "r AS (SELECT *, sum(bytes) OVER (PARTITION BY tenant, tier ORDER BY min_ts, part) - bytes AS run FROM t), c AS (SELECT *, CAST(floor(run / 500) AS BIGINT) AS cell FROM r) "
+    "SELECT tenant, part, CASE WHEN count(*) OVER (PARTITION BY tenant, tier, cell) > 1 THEN tenant || '/' || tier || '/' || cell END AS \"group\" FROM c"
+)
+def compaction_groups(spark, sf):
+    day = V.floor_to("ts", DAY)
+    parts = T.event_samples(spark, sf).groupBy("tenant", day.alias("min_ts")).agg(F.count(F.lit(1)).alias("bytes")).withColumn("part", F.col("min_ts").cast("string"))
+    return L.compaction_groups(parts, 4, 500).select("tenant", "part", "group")
+
+
 @query(
     "WITH r AS (SELECT DISTINCT role FROM conversations), p AS (SELECT doc_id, 'lang' AS k, lang AS v FROM documents UNION ALL SELECT doc_id, 'source', source FROM documents), "
     "t AS (SELECT k || chr(0) || v AS token, doc_id FROM p UNION SELECT k || chr(0) || unnest(regexp_extract_all(lower(v), '[a-z0-9]+')), doc_id FROM p) SELECT token, count(*) AS n FROM t GROUP BY token"
@@ -372,6 +391,14 @@ def attr_keys_all_scopes(spark, sf):
     return A.keys(rows, resource=F.col("labels"), scope=scope, record=F.col("attrs"))
 
 
+@query(ORACLE_SQL["attr_keys_all_scopes"])
+def attr_keys_of_shards(spark, sf):
+    rows = T.document_logs(spark, sf)
+    scope = F.map_filter(F.create_map(F.concat(F.lit("lib."), F.col("labels")["lang"]), F.lit("1"), F.lit("source"), F.when(F.col("severity") > 500, "1")), lambda k, v: v.isNotNull())
+    shards = [rows.where(V.shard_of("stream_id", 3) == k) for k in range(3)]
+    return A.union_keys(*[A.keys(s, resource=F.col("labels"), scope=scope, record=F.col("attrs")) for s in shards])
+
+
 @query(f"WITH {LOGS} SELECT 'lang' AS key, CAST(1 AS BIGINT) AS scopes FROM lg UNION SELECT 'source', 1 FROM lg UNION SELECT 'n_chars', 4 FROM lg WHERE n_chars IS NOT NULL UNION SELECT 'quality', 4 FROM lg WHERE quality IS NOT NULL UNION SELECT 'toxic', 4 FROM lg WHERE toxic IS NOT NULL")
 def attr_keys_scope(spark, sf):
     return A.keys(T.document_logs(spark, sf), resource=F.col("labels"), record=F.col("attrs"))
