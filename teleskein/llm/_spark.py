@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when it was written out and is no larger than this in memory.
 BROADCAST_BYTES = 16 << 20
 #: Bytes of input that a part of a hash space stands for.
-PART_BYTES = 16 << 20
+PART_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +96,44 @@ def column(name: str) -> Column:
     return F.col(quoted(name))
 
 
+def release() -> None:
+    """Give freed memory of this Python worker back to the system: workers are used again, and each keeps what its largest task once took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def frugal(run):
+    """run, a function of batches or of tables, with release() after it."""
+
+    @functools.wraps(run)
+    def over_batches(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    @functools.wraps(run)
+    def over_one(table):
+        try:
+            return run(table)
+        finally:
+            release()
+
+    @functools.wraps(run)
+    def over_two(left, right):
+        try:
+            return run(left, right)
+        finally:
+            release()
+
+    if inspect.isgeneratorfunction(run):
+        return over_batches
+    return over_one if len(inspect.signature(run).parameters) == 1 else over_two
+
+
 def row_struct(df: DataFrame) -> Column:
     """The whole row as one column, so that no name of the caller's can clash with a computed one."""
     return F.struct(*[column(c) for c in df.columns])

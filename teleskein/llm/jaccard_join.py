@@ -48,6 +48,8 @@ LEAF = 1024
 LEAF_GRAMS = 8_000_000
 #: Pivots of a region that divides, and documents by hash of which they are chosen.
 PIVOTS = 8
+#: Words of a chunk of documents.
+CHUNK_TOKENS = 1 << 19
 SEEDS = 64
 _MOST = (1 << 16) - 1
 _STEP = 0x9E3779B97F4A7C15
@@ -126,13 +128,13 @@ def coded(texts: DataFrame, n: int) -> DataFrame:
             _, _, hashes, pointer = _text.words(*_text.string_column(batch.column("_text")))
             held.append((batch.column("_id"), batch.column("_key"), hashes, np.diff(pointer)))
             total += len(hashes) + batch.num_rows
-            if total > _chunks.CHUNK_TOKENS:
+            if total > CHUNK_TOKENS:
                 yield out()
                 total = 0
         if held:
             yield out()
 
-    return texts.mapInArrow(code, f"chunk bigint, ids array<{kind}>, row_keys array<bigint>, sids array<bigint>, size binary, vocab binary, idx binary")
+    return texts.mapInArrow(_spark.frugal(code), f"chunk bigint, ids array<{kind}>, row_keys array<bigint>, sids array<bigint>, size binary, vocab binary, idx binary")
 
 
 def _decoded(row: dict, place: np.ndarray, n: int):
@@ -172,8 +174,8 @@ def reaching(chunks: DataFrame, n: int, threshold: float, parts: int) -> tuple[D
         found = [_chunks.wrap(total[e - len(k) : e]) for k, e in zip(keys, stop)]
         return pa.table([table["chunk"], table["part"], pa.array(found, pa.binary())], ["chunk", "part", "number"])
 
-    sent = work.mapInArrow(send, "part int, chunk bigint, keys binary, times binary")
-    replies = _spark.table(sent.groupBy("part").applyInArrow(answer, "chunk bigint, part int, number binary"))
+    sent = work.mapInArrow(_spark.frugal(send), "part int, chunk bigint, keys binary, times binary")
+    replies = _spark.table(sent.groupBy("part").applyInArrow(_spark.frugal(answer), "chunk bigint, part int, number binary"))
     replied = work.join(replies.groupBy("chunk").agg(F.collect_list(F.struct("part", "number")).alias("replies")), "chunk")
     replied = replied.join(firsts.groupBy(F.col("at.chunk").alias("chunk")).agg(F.collect_list(F.struct("at.place", "copies")).alias("firsts")), "chunk")
 
@@ -213,7 +215,7 @@ def reaching(chunks: DataFrame, n: int, threshold: float, parts: int) -> tuple[D
                     ], ["sid", "size", "copies", "grams", "cells"],
                 )
 
-    sets = replied.mapInArrow(keep, "sid bigint, size int, copies bigint, grams binary, cells array<bigint>")
+    sets = replied.mapInArrow(_spark.frugal(keep), "sid bigint, size int, copies bigint, grams binary, cells array<bigint>")
     return firsts, _spark.table(sets)
 
 
@@ -409,8 +411,12 @@ def _compared(texts: DataFrame, n: int, threshold: float, leaf: int, pairs: bool
     whole, *rest = leaves(placed, stats, threshold, leaf)
     for r in rest:
         whole = whole.unionByName(r)
+
+    def solve(batches):
+        yield from _solved(batches, threshold, pairs)
+
     by_region = whole.repartition(parts, "region").sortWithinPartitions("region")
-    return chunks, firsts, _spark.table(by_region.mapInArrow(lambda it: _solved(it, threshold, pairs), schema))
+    return chunks, firsts, _spark.table(by_region.mapInArrow(_spark.frugal(solve), schema))
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
