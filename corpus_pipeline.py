@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept, written as
 Parquet and read again. All but the last return the columns of documents.
+
+Defined results: rows whose text is null, empty or without words are never toxic and never near copies;
+equal texts, empty ones too, are exact copies, null ones aren't; rows of a null id pass the near-copy
+stage; of rows that agree in id and text one stays; of near copies that of the least id; the sample decides between
+what is left, a null source being one of its own; a null text that is sampled has null tokens; an empty
+table gives an empty result; columns beyond those of documents go along to the last stage, whatever
+their names, and play no part. The same input gives the same rows.
 """
 
 from __future__ import annotations

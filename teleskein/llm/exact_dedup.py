@@ -41,10 +41,10 @@ def _keyed(df: DataFrame) -> DataFrame:
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each input row: its id, keep_id (the group's representative), group_size, is_duplicate (it goes)."""
-    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    base = docs.select(_spark.column(id_col).alias("_id"), _spark.column(text_col).alias("_text"))
     groups = _survivors(base.select("_text"))
     keyed = _keyed(base)
-    alone = keyed.join(groups, ["_len", "_pre"], "left_anti").select(
+    alone = keyed.drop("_text").join(groups, ["_len", "_pre"], "left_anti").select(
         F.col("_id").alias(id_col), F.col("_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(False).alias("is_duplicate")
     )
     full = keyed.join(groups, ["_len", "_pre"], "left_semi").select("_id", "_len", "_pre", F.sha2("_text", 256).alias("_full"))
@@ -58,12 +58,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns. Only rows of surviving groups are shuffled, and those combine before it."""
-    base = docs.select(_spark.row_struct(docs).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    base = docs.select(_spark.row_struct(docs).alias("_row"), _spark.column(id_col).alias("_id"), _spark.column(text_col).alias("_text"))
     groups = _survivors(base.select("_text"))
     keyed = _keyed(base)
-    alone = keyed.join(groups, ["_len", "_pre"], "left_anti").select("_row")
+    alone = keyed.select("_len", "_pre", "_row").join(groups, ["_len", "_pre"], "left_anti").select("_row")
     others = [c for c in docs.columns if c not in (id_col, text_col)]
-    tie = F.to_json(F.struct(*[F.col(f"_row.`{c}`") for c in others])) if others else F.lit("")
+    tie = F.to_json(F.struct(*[F.col(f"_row.{_spark.quoted(c)}") for c in others])) if others else F.lit("")
     first = F.min_by("_row", F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), tie.alias("t")))
     found = keyed.join(groups, ["_len", "_pre"], "left_semi").groupBy("_len", "_pre", F.sha2("_text", 256).alias("_full")).agg(first.alias("_row")).select("_row")
     return alone.unionByName(found).select("_row.*")

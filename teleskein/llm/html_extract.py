@@ -167,7 +167,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
             )
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return pages.select(F.col(id_col).alias("_id"), F.col(html_col).alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, {OUT}")
+    return pages.select(F.col(id_col).alias("_id"), F.col(html_col).alias("_text")).mapInArrow(_spark.frugal(run), f"{_spark.quoted(id_col)} {kind}, {OUT}")
 
 
 def op2_html_extraction(spark, sf_dir: str) -> DataFrame:

@@ -7,8 +7,9 @@ languages, and a document's is the mean over all its bytes.
 Defined results: a null or empty text has null language, probability and an empty list of runs; ids
 may be null or repeat; a null language in the training table is left out; a training table of no
 languages gives null everywhere; an empty table gives an empty result; other columns play no part.
-Runs are maximal stretches of bytes with one most probable language; one that is shorter than
-``shortest`` bytes joins the run before it.
+Runs are maximal stretches of bytes with one most probable language; with ``shortest`` above 1 one that
+is shorter than so many bytes joins the run before it. Training takes per_language documents of each
+language and per_document windows of each, parameters of ``train``.
 """
 
 from __future__ import annotations
@@ -139,15 +140,21 @@ def windows(raw: np.ndarray, count: int, rng: np.random.Generator, width: int =
     return [raw[s : s + width] for s in spots]
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = TRAIN_DOCS) -> tuple[list[str], dict[str, np.ndarray]]:
-    """(languages, weights), from at most ``per_language`` labelled documents of each language."""
-    known = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & (F.octet_length(text_col) > 0))
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id", F.lit(3)), "_id", "_text")
-    chosen = known.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")).where(F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(_share(known, lang_col, per_language))) == 0)
-    rows = sorted(chosen.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language).select("_lang", "_n", "_text").collect(), key=lambda r: (r["_lang"], r["_n"]))
-    names = sorted({r["_lang"] for r in rows})
-    rng = np.random.default_rng(5)
-    parts = [(w, names.index(r["_lang"])) for r in rows for w in windows(np.frombuffer(r["_text"].encode(), np.uint8), TRAIN_WINDOWS, rng)]
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = TRAIN_DOCS, per_document: int = TRAIN_WINDOWS) -> tuple[list[str], dict[str, np.ndarray]]:
+    """(languages, weights), from at most ``per_language`` labelled documents of each language and ``per_document`` windows of each of these."""
+    text = _spark.column(text_col)
+    known = docs.select(_spark.column(id_col).alias("_id"), _spark.column(lang_col).alias("_lang"), text.alias("_text")).where("_id IS NOT NULL AND _lang IS NOT NULL AND octet_length(_text) > 0")
+    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id", F.lit(3)), "_id", F.xxhash64("_text"))
+    chosen = known.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language)  # each task passes on so many at most
+
+    def cut(batches):
+        for batch in batches:
+            found = [(lang, n, [w.tobytes() for w in windows(np.frombuffer(text.encode(), np.uint8), per_document, np.random.default_rng([5, n]))]) for lang, n, text in zip(*(batch.column(c).to_pylist() for c in ("_lang", "_n", "_text")))]
+            yield pa.RecordBatch.from_arrays([pa.array([str(f[0]) for f in found], pa.string()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.list_(pa.binary()))], ["lang", "n", "windows"])
+
+    rows = sorted(chosen.select("_lang", "_n", "_text").mapInArrow(cut, "lang string, n int, windows array<binary>").collect(), key=lambda r: (r["lang"], r["n"]))
+    names = sorted({r["lang"] for r in rows})
+    parts = [(np.frombuffer(w, np.uint8), names.index(r["lang"])) for r in rows for w in r["windows"]]
     if not parts:
         return [], {}
     chars, mask = np.zeros((len(parts), WINDOW), np.uint8), np.zeros((len(parts), WINDOW), bool)
@@ -156,12 +163,6 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return names, fit(chars, mask, np.array([k for _, k in parts]), len(names))
 
 
-def _share(known: DataFrame, lang_col: str, per_language: int) -> int:
-    """One in how many documents of the rarest language may be left, so that the choice needn't sort whole tables."""
-    rarest = min((r["count"] for r in known.groupBy(lang_col).count().collect()), default=0)
-    return max(1, rarest // (4 * per_language))
-
-
 def label_bytes(buf: np.ndarray, offs: np.ndarray, w: dict[str, np.ndarray], width: int = WINDOW) -> np.ndarray:
     """Probability of each language at each byte, (bytes, languages)."""
     out = np.empty((len(buf), w["out"].shape[0]), np.float32)
@@ -214,8 +215,8 @@ def runs(best: np.ndarray, offs: np.ndarray, shortest: int) -> tuple[np.ndarray,
     return doc, start - offs[doc], stop - offs[doc], label
 
 
-def identify(docs: DataFrame, model: tuple[list[str], dict[str, np.ndarray]], id_col: str = "doc_id", text_col: str = "text", shortest: int = 16) -> DataFrame:
-    """A row for each document: id, language, probability, and the runs of bytes of one language."""
+def identify(docs: DataFrame, model: tuple[list[str], dict[str, np.ndarray]], id_col: str = "doc_id", text_col: str = "text", shortest: int = 1) -> DataFrame:
+    """A row for each document: id, language, probability, and the runs of bytes of one language; shortest: 1 for the label of every position, more to smooth."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few kilobytes
     kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("language", pa.string())]))
 
@@ -239,7 +240,7 @@ def identify(docs: DataFrame, model: tuple[list[str], dict[str, np.ndarray]], id
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(language, pa.string()), pa.array(np.round(prob, 4), mask=blank), lists], [id_col, "language", "probability", "runs"])
 
     t = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"`{id_col}` {t}, language string, probability double, runs array<struct<start:int,stop:int,language:string>>")
+    return docs.select(_spark.column(id_col).alias("_id"), _spark.column(text_col).alias("_text")).mapInArrow(_spark.frugal(run), f"{_spark.quoted(id_col)} {t}, language string, probability double, runs array<struct<start:int,stop:int,language:string>>")
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ with proximal L1; the fitted sentence scores then locate the offending sentences
 
 Defined results: a null, empty or word-free text has no sentences, probability 0 and is kept; ids
 may be null or repeat (each row is scored by itself); an empty table gives an empty result; with
-no toxic or no clean label there is nothing to learn and every probability is 0. A sentence ends
+no toxic or no clean label there is nothing to learn and every probability is 0; an id whose labels
+contradict each other counts as toxic. A sentence ends
 at ``.``, ``!``, ``?`` or a line break and holds at least one word. Offsets count characters.
 """
 
@@ -26,6 +27,8 @@ STEMS = (4, 5)
 _WIDTH = 1 + len(STEMS)
 #: At most so many labelled documents of each class are learned from, chosen by hash of their id.
 TRAIN_PER_CLASS = 4000
+#: What occurs in fewer training documents can't be told from chance; 1 leaves out nothing.
+MIN_DOCUMENTS = 1
 #: Features that a step of the fit looks at together.
 BLOCK = 1 << 20
 THRESHOLD = 0.5
@@ -71,8 +74,8 @@ def _features(batches):
         )
 
 
-def fit(y: np.ndarray, feats: list[np.ndarray], sizes: list[np.ndarray], class_weight: tuple[float, float] = (1.0, 1.0), rounds: int = 120, rate: float = 0.15, l1: float = 1e-4) -> tuple[np.ndarray, float]:
-    """(weight of each bucket, bias)."""
+def fit(y: np.ndarray, feats: list[np.ndarray], sizes: list[np.ndarray], class_weight: tuple[float, float] = (1.0, 1.0), min_documents: int = MIN_DOCUMENTS, rounds: int = 120, rate: float = 0.15, l1: float = 1e-4) -> tuple[np.ndarray, float]:
+    """(weight of each bucket, bias). A feature that fewer than min_documents of the training documents hold has no weight."""
     weights = np.zeros(BUCKETS, np.float32)
     use = [i for i in range(len(y)) if len(sizes[i])]
     if not use or y[use].min() == y[use].max():
@@ -82,7 +85,7 @@ def fit(y: np.ndarray, feats: list[np.ndarray], sizes: list[np.ndarray], class_w
     held_by = np.zeros(BUCKETS, np.int64)
     for i in use:
         held_by[np.unique(feats[i])] += 1
-    common = np.flatnonzero(held_by >= 3)  # what occurs in fewer documents can't be told from chance
+    common = np.flatnonzero(held_by >= max(min_documents, 1))
     index = np.full(BUCKETS, -1, np.int32)
     index[common] = np.arange(len(common))
     blocks, some, begin, held = [], [], 0, 0  # (first sentence, number of sentences, features, their sentences counted from the first)
@@ -120,23 +123,23 @@ def fit(y: np.ndarray, feats: list[np.ndarray], sizes: list[np.ndarray], class_w
     return weights, float(theta[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = TRAIN_PER_CLASS) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = TRAIN_PER_CLASS, min_documents: int = MIN_DOCUMENTS) -> tuple[np.ndarray, float]:
     """Fit on at most ``per_class`` labelled documents of each class; the classes' true shares weight them."""
-    said = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id IS NOT NULL AND _y IN (0, 1)").groupBy("_id").agg(F.max("_y").alias("_y"))
+    said = labels.select(_spark.column(id_col).alias("_id"), _spark.column(label_col).cast("int").alias("_y")).where("_id IS NOT NULL AND _y IN (0, 1)").groupBy("_id").agg(F.max("_y").alias("_y"))
     shares = {r["_y"]: r["count"] for r in said.groupBy("_y").count().collect()}
     if len(shares) < 2:
         return np.zeros(BUCKETS, np.float32), -30.0
     order = F.xxhash64(F.col("_id"), F.lit(17))
     chosen = [said.where(F.col("_y") == k).orderBy(order, "_id").limit(per_class) for k in (0, 1)]
     ids = F.broadcast(_spark.pin(chosen[0].unionByName(chosen[1])))  # 2 x per_class rows at most
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(ids, "_id").select("_y", "_text")
-    found = texts.mapInArrow(_features, "y int, words binary, sizes binary").toPandas()
+    texts = docs.select(_spark.column(id_col).alias("_id"), _spark.column(text_col).alias("_text")).join(ids, "_id").select("_y", "_text")
+    found = texts.mapInArrow(_spark.frugal(_features), "y int, words binary, sizes binary").toPandas()
     y = found["y"].to_numpy()
     if not len(y) or y.min() == y.max():
         return np.zeros(BUCKETS, np.float32), -30.0
     feats, sizes = ([np.frombuffer(b, np.int32) for b in found[c]] for c in ("words", "sizes"))
     order = sorted(range(len(y)), key=lambda i: (y[i], bytes(found["words"][i])))  # the fit does not depend on the order of arrival
-    return fit(y[order], [feats[i] for i in order], [sizes[i] for i in order], tuple(shares[k] / (y == k).sum() for k in (0, 1)))
+    return fit(y[order], [feats[i] for i in order], [sizes[i] for i in order], tuple(shares[k] / (y == k).sum() for k in (0, 1)), min_documents)
 
 
 def score(buf: np.ndarray, offs: np.ndarray, weights: np.ndarray, bias: float):
@@ -171,7 +174,7 @@ def toxicity(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "do
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, {OUT}")
+    return docs.select(_spark.column(id_col).alias("_id"), _spark.column(text_col).alias("_text")).mapInArrow(_spark.frugal(run), f"{_spark.quoted(id_col)} {kind}, {OUT}")
 
 
 def drop_toxic(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -184,7 +187,7 @@ def drop_toxic(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str =
         parts = [score(*_text.string_column(b.column("_text")), *sent.value)[0] < threshold for b in _text.slices([whole], "_text")]
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0, bool))
 
-    return docs.where(clean(F.col(text_col)))
+    return docs.where(clean(_spark.column(text_col)))
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:

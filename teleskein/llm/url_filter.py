@@ -53,12 +53,15 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     listed = rules.where("rule IS NOT NULL AND action IN ('allow', 'block')").groupBy("rule", "action").agg(F.lit(1).alias("n"))
     listed = listed.select(F.sha2("rule", 256).alias("_digest"), F.col("action").alias("_action"), F.col("rule").alias("_rule")).withColumn("_short", F.substring("_digest", 1, 8))
     listed = _spark.sized_side(listed)
-    rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"))
+    rows = pages.select(_spark.column(id_col).alias("_id"), _spark.column(url_col).alias("_url"))
     spread = rows.select("_url").where("_url IS NOT NULL").distinct().select("_url", F.explode(expressions(F.col("_url"))).alias("_e"))
     spread = spread.select("_url", F.length("_e.h").alias("_hl"), F.length("_e.p").alias("_pl"), F.sha2(F.concat("_e.h", "_e.p"), 256).alias("_full"))
     met = spread.withColumn("_short", F.substring("_full", 1, 8)).join(listed, "_short").where(F.col("_full") == F.col("_digest"))
     best = met.groupBy("_url").agg(F.max_by(F.struct("_action", "_rule"), F.struct("_hl", "_pl", F.col("_action") == "allow")).alias("_best"))
-    return rows.join(best, "_url", "left").select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), F.coalesce("_best._action", F.lit("none")).alias("action"), F.col("_best._rule").alias("rule"))
+    best = best.select("_url", "_best._action", "_best._rule")
+    nothing = rows.where("_url IS NULL").withColumns({"_action": F.lit(None).cast("string"), "_rule": F.lit(None).cast("string")})  # apart, as rows without a key would meet in one task
+    found = rows.where("_url IS NOT NULL").join(best, "_url", "left").select("_id", "_url", "_action", "_rule").unionByName(nothing)
+    return found.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), F.coalesce("_action", F.lit("none")).alias("action"), F.col("_rule").alias("rule"))
 
 
 def op9_url_filter(spark, sf_dir: str) -> DataFrame:
