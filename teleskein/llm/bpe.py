@@ -17,7 +17,6 @@ part. Special tokens in a text are ordinary text.
 from __future__ import annotations
 
 import base64
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +28,8 @@ from . import _spark, _text
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces that a task remembers; beyond it the memory starts anew.
-REMEMBERED = 400_000
+#: Pieces, segments and pairs of tokens, each, that a task remembers; beyond it the memory starts anew.
+REMEMBERED = 200_000
 CHUNK = 4 << 20
 
 
@@ -149,6 +148,8 @@ class Prefixes:
                         key = before << 32 | t
                         fits = pairs.get(key)
                         if fits is None:
+                            if len(pairs) >= REMEMBERED:
+                                pairs.clear()
                             fits = pairs[key] = v.together(before, t)
                         if fits:
                             last[end - 1] = t
@@ -180,46 +181,58 @@ class Prefixes:
 
 
 class Encoder:
-    """Texts to tokens and back."""
+    """Texts to tokens and back. What is remembered of a piece is its tokens as bytes of 32-bit numbers, which join into an array at once."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str = PATTERN):
         self.vocabulary = vocabulary
         self.pieces = regex.compile(pattern)
-        self.irregular = regex.compile(r" (?=\s|$)")
-        self.piece_memory: dict[str, tuple[int, ...]] = {}
-        self.segment_memory: dict[str, tuple[int, ...]] = {}  # with a space before it
+        self.table = [vocabulary.token.get(t, b"") for t in range(max(vocabulary.token) + 1)]
+        self.piece_memory: dict[str, bytes] = {}
+        self.segment_memory: dict[str, bytes] = {}  # with a space before it
 
-    def piece(self, text: str) -> tuple[int, ...]:
+    def forget(self) -> None:
+        """Keep the vocabulary alone."""
+        for memory in (self.piece_memory, self.segment_memory, self.vocabulary.pairs):
+            memory.clear()
+
+    def piece(self, text: str) -> bytes:
         known = self.piece_memory.get(text)
         if known is None:
             raw = text.encode("utf-8")
             whole = self.vocabulary.begins.get(raw, -1)
-            known = (whole,) if whole >= 0 else tuple(Prefixes(self.vocabulary, raw).tokens())
+            known = np.array([whole] if whole >= 0 else Prefixes(self.vocabulary, raw).tokens(), np.int32).tobytes()
             if len(text) <= 64:
                 if len(self.piece_memory) >= REMEMBERED:
                     self.piece_memory.clear()
                 self.piece_memory[text] = known
         return known
 
-    def _segment(self, segment: str) -> tuple[int, ...]:
-        known = tuple(chain.from_iterable(map(self.piece, self.pieces.findall(" " + segment))))
+    def _pieces(self, text: str) -> bytes:
+        return b"".join(map(self.piece, self.pieces.findall(text)))
+
+    def _segment(self, segment: str) -> bytes:
+        known = self._pieces(" " + segment)
         if len(segment) <= 64:
             if len(self.segment_memory) >= REMEMBERED:
                 self.segment_memory.clear()
             self.segment_memory[segment] = known
         return known
 
-    def encode(self, text: str) -> list[int]:
-        if self.irregular.search(text):  # a space before white space: not every space begins a piece
-            return list(chain.from_iterable(map(self.piece, self.pieces.findall(text))))
+    def encoded(self, text: str) -> bytes:
         head, *rest = text.split(" ")
         found = list(map(self.segment_memory.get, rest))
         if None in found:
+            missing = [s for s, k in zip(rest, found) if k is None]
+            if any(not s or s[0].isspace() for s in missing):  # a space before white space: not every space begins a piece. Such segments are never remembered
+                return self._pieces(text)
             found = [self._segment(s) if k is None else k for s, k in zip(rest, found)]
-        return [*chain.from_iterable(map(self.piece, self.pieces.findall(head))), *chain.from_iterable(found)]
+        return self._pieces(head) + b"".join(found)
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encoded(text), np.int32).tolist()
 
     def decode(self, tokens) -> bytes:
-        return b"".join(map(self.vocabulary.token.__getitem__, tokens))
+        return b"".join(map(self.table.__getitem__, tokens))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -235,27 +248,31 @@ def encoder(path: str = VOCABULARY) -> Encoder:
 def encode_documents(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens, tokens, round_trip) of each document; round_trip: decoding gives the text's bytes."""
 
-    def run(batches):
-        e = encoder(path)
+    def encoded(e, batches):
         for batch in _text.slices(batches, "_text", CHUNK):
-            lists, sizes, same = [], [], []
+            raws, sizes, same = [], [], []
             for text in batch.column("_text").to_pylist():
                 if text is None:
-                    lists.append(None), sizes.append(None), same.append(None)
+                    raws.append(None), sizes.append(None), same.append(None)
                     continue
-                tokens = e.encode(text)
-                raw = text.encode("utf-8")
-                sizes.append(len(raw))
-                same.append(e.decode(tokens) == raw)
-                lists.append(np.array(tokens, np.int32))
-            count = [None if x is None else len(x) for x in lists]
+                tokens, raw = e.encoded(text), text.encode("utf-8")
+                raws.append(tokens), sizes.append(len(raw))
+                same.append(e.decode(np.frombuffer(tokens, np.int32).tolist()) == raw)
+            count = [None if x is None else len(x) // 4 for x in raws]
             offsets = np.concatenate([[0], np.cumsum([c or 0 for c in count])])
-            flat = np.concatenate([x for x in lists if x is not None]) if any(x is not None for x in lists) else np.zeros(0, np.int32)
-            values = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()), mask=pa.array([x is None for x in lists]))
+            flat = np.frombuffer(b"".join(x for x in raws if x), np.int32)
+            values = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()), mask=pa.array([x is None for x in raws]))
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(count, pa.int64()), values, pa.array(same, pa.bool_())], [id_col, "n_bytes", "n_tokens", "tokens", "round_trip"])
 
+    def run(batches):
+        e = encoder(path)
+        try:
+            yield from encoded(e, batches)
+        finally:
+            e.forget()
+
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, tokens array<int>, round_trip boolean")
+    return docs.select(_spark.column(id_col).alias("_id"), _spark.column(text_col).alias("_text")).mapInArrow(_spark.frugal(run), f"{_spark.quoted(id_col)} {kind}, n_bytes bigint, n_tokens bigint, tokens array<int>, round_trip boolean")
 
 
 def op5_byte_bpe(spark, sf_dir: str) -> DataFrame:
