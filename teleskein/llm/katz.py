@@ -81,7 +81,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(_spark.column(id_col).alias("_id"), _spark.column(text_col).alias("_text"))
-    return rows.mapInArrow(code, f"chunk bigint, ids array<{kind}>, size binary, vocab binary, times binary, idx binary")
+    return rows.mapInArrow(_spark.frugal(code), f"chunk bigint, ids array<{kind}>, size binary, vocab binary, times binary, idx binary")
 
 
 def _sent_table(rows: list[tuple]) -> pa.Table:
@@ -334,14 +334,16 @@ def score(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "
     known: dict = {"discount": {}, "tokens": 0, "min_count": min_count}
     replies: list[DataFrame] = []
 
-    def all_replies() -> DataFrame:
+    def all_replies(ranks: int) -> DataFrame:
+        """Ranks go along only of the level whose n-grams are sent as contexts, backoff weights only to the end."""
         out = replies[0]
         for r in replies[1:]:
             out = out.unionByName(r)
-        return out.where("chunk >= 0")
+        y = F.expr(f"kind = 'count' AND level = {ranks}" if ranks else "kind = 'context'")
+        return out.where("chunk >= 0").withColumn("y", F.when(y, F.col("y")))
 
-    def passed(step, source: DataFrame, schema: str) -> DataFrame:
-        return source.groupBy("chunk").cogroup(all_replies().groupBy("chunk")).applyInArrow(step, schema)
+    def passed(step, source: DataFrame, schema: str, ranks: int = 0) -> DataFrame:
+        return source.groupBy("chunk").cogroup(all_replies(ranks).groupBy("chunk")).applyInArrow(_spark.frugal(step), schema)
 
     def first_levels(batches):
         for batch in batches:
@@ -354,7 +356,7 @@ def score(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "
                 yield from _sent_table(rows).to_batches()
 
     def answered(sent: DataFrame, *levels: int) -> None:
-        found = _spark.table(sent.groupBy("part").applyInArrow(answer(dict(known["discount"]), n), REPLY))
+        found = _spark.table(sent.groupBy("part").applyInArrow(_spark.frugal(answer(dict(known["discount"]), n)), REPLY))
         replies.append(found)
         numbers = found.where("chunk = -1").select("level", "x", "y").toLocalIterator()  # small rows, one for each part and level
         sums = {level: [np.zeros(K + 2, np.int64), 0] for level in levels}
@@ -366,11 +368,11 @@ def score(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "
             if level == 1:
                 known["tokens"] = tokens
 
-    answered(slim.mapInArrow(first_levels, SENT), *range(1, min(n, 2) + 1))
+    answered(slim.mapInArrow(_spark.frugal(first_levels), SENT), *range(1, min(n, 2) + 1))
     for level in range(2, n + 1):
         after = level + 1 if level < n else 0
         so_far = known | {"discount": dict(known["discount"])}
-        answered(passed(_messages(level, after, so_far, parts), slim, SENT), *([after] if after else []))
+        answered(passed(_messages(level, after, so_far, parts), slim, SENT, level - 1), *([after] if after else []))
 
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "n_tokens", "log_prob", "perplexity", "backed_off"]
