@@ -46,6 +46,12 @@ def ms_to_ns(ms) -> Column:
     return F.when(ms > most, F.lit(MAX_NS)).when(ms < -most, F.lit(-MAX_NS)).otherwise(ms * F.lit(1_000_000))
 
 
+def ns_to_ms(ns) -> Column:
+    """The millisecond that holds a time, in whole numbers: doubles have no digits for 10^18 nanoseconds. Also right for negative times."""
+    ns, step = _col(ns), F.lit(1_000_000).cast("bigint")
+    return F.call_function("div", ns, step) - (ns % step < 0).cast("bigint")
+
+
 def to_ns(ts) -> Column:
     """Nanoseconds of a timestamp with or without time zone; the session's zone must be UTC."""
     return F.unix_micros(_col(ts).cast("timestamp")) * F.lit(1000)

@@ -31,8 +31,8 @@ def matched_series(series: DataFrame, matchers) -> DataFrame:
 def select(samples: DataFrame, series: DataFrame, matchers, start_ms: int | None = None, end_ms: int | None = None, tenants=(), ordered: bool = False) -> DataFrame:
     """(series_id, labels, points) with points array<struct<t ms, v>> by rising time; ordered: by label set. A series without samples in the window has no row."""
     rows = R.fetch_metrics(samples, None, _request((), start_ms, end_ms, tenants)).join(matched_series(series, matchers).drop("labels"), "series_id", "left_semi")
-    point = F.struct(F.floor(F.col("ts") / 1_000_000).cast("bigint").alias("t"), F.col("value").cast("double").alias("v"))
-    points = rows.groupBy("series_id").agg(F.array_sort(F.collect_list(point)).alias("points"))
+    samples_of = F.array_sort(F.collect_list(F.struct("ts", F.col("value").cast("double").alias("v"))))  # by nanoseconds, as several may share a millisecond
+    points = rows.groupBy("series_id").agg(samples_of.alias("points")).withColumn("points", F.transform("points", lambda p: F.struct(V.ns_to_ms(p["ts"]).alias("t"), p["v"].alias("v"))))
     out = points.join(matched_series(series, matchers), "series_id").select("series_id", "labels", "points")
     return out.orderBy(label_set(F.col("labels"))) if ordered else out
 
